@@ -63,5 +63,5 @@ def heavy_keys(weighted: DataFrame, share: float = 0.03) -> DataFrame:
     """Non-null keys that hold at least ``share`` of all rows (rows with a null key count in the total), with
     ``n_rows``. An empty table has none. The total is an aggregate of the keys' sums; at most 1 / ``share`` rows."""
     keys = weighted.groupBy("key").agg(F.sum("weight").alias("n_rows"))
-    total = keys.agg(F.sum("n_rows").alias("total"))
-    return keys.crossJoin(F.broadcast(total)).where(F.col("key").isNotNull() & (F.col("n_rows") >= F.col("total") * share)).select("key", "n_rows")
+    total = keys.agg(F.sum("n_rows")).scalar()
+    return keys.where(F.col("key").isNotNull() & (F.col("n_rows") >= total * share))
