@@ -210,7 +210,9 @@ def match_names(rows: DataFrame, key: str, name: str, reference: DataFrame, iden
                 found.append(known[key])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string())], ["name", "found"])
 
-    mapping = rows.groupBy("name").count().select("name").mapInArrow(work, "name string, found string")
+    # a number of partitions of its own: names are few bytes but much work, so that size says little here
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mapping = rows.groupBy("name").count().select("name").repartition(parts).mapInArrow(work, "name string, found string")
     return rows.join(mapping, "name").select(F.col("key").alias(key), F.col("found").alias(result))
 
 
