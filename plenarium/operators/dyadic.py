@@ -25,7 +25,7 @@ def bilateral_matrix(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_mentions"),
         F.count_distinct("speech_id").alias("n_speeches"),
         F.count_distinct("speaker_id").alias("n_speakers"),
-        F.avg("sentence_sentiment_value").alias("mean_sentiment"),
+        T.exact_mean(F.col("sentence_sentiment_value")).alias("mean_sentiment"),
         F.stddev_samp("sentence_sentiment_value").alias("sd_sentiment"),
         F.mode("target_name", deterministic=True).alias("target_name"),
     )
@@ -95,7 +95,7 @@ def shock_window(df: DataFrame, day: str, days: int = 90) -> DataFrame:
     near = df.where(F.col("session_date").between(F.date_sub(shock, days), F.date_add(shock, days)))
     before, s = F.col("session_date") < shock, F.col("sentence_sentiment_value")
     out = near.groupBy("country", "target_iso3").agg(
-        F.count_if(before).alias("n_pre"), F.count_if(~before).alias("n_post"), F.avg(F.when(before, s)).alias("sentiment_pre"), F.avg(F.when(~before, s)).alias("sentiment_post")
+        F.count_if(before).alias("n_pre"), F.count_if(~before).alias("n_post"), T.exact_mean(F.when(before, s)).alias("sentiment_pre"), T.exact_mean(F.when(~before, s)).alias("sentiment_post")
     )
     return out.withColumns({"delta_n": F.col("n_post") - F.col("n_pre"), "delta_sentiment": F.col("sentiment_post") - F.col("sentiment_pre")})
 
@@ -119,7 +119,7 @@ def yearly_attention(df: DataFrame) -> DataFrame:
         scoped.withColumn("analysis_scope", analysis_scope(scoped))
         .withColumn("source_year", F.year("session_date"))
         .groupBy("country", "target_iso3", "source_year", "analysis_scope")
-        .agg(F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("speech_id").alias("n_speeches"), F.count_distinct("speaker_id").alias("n_speakers"), F.avg("sentence_sentiment_value").alias("mean_sentiment"))
+        .agg(F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("speech_id").alias("n_speeches"), F.count_distinct("speaker_id").alias("n_speakers"), T.exact_mean(F.col("sentence_sentiment_value")).alias("mean_sentiment"))
     )
 
 

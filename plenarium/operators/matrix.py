@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenarium.functions import text as T
 from plenarium.plans.lineage import cut
 
 #: Cells of a table that is decomposed in the driver; larger ones are refused.
@@ -30,7 +31,7 @@ def top_columns(counts: DataFrame, column: str, value: str, n: int) -> DataFrame
 
 def masked_means(df: DataFrame, row: str, column: str, value: str, least: int = 20) -> DataFrame:
     """Cell means, null where a cell has fewer than ``least`` rows."""
-    return df.groupBy(row, column).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.avg(value)).alias("mean_value"))
+    return df.groupBy(row, column).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, T.exact_mean(F.col(value))).alias("mean_value"))
 
 
 def profile_features(df: DataFrame, row: str, target: str, value: str) -> DataFrame:
@@ -41,7 +42,7 @@ def profile_features(df: DataFrame, row: str, target: str, value: str) -> DataFr
         F.log1p(F.count_distinct("speech_id")).alias("log_speeches"),
         F.log1p(F.count_distinct("speaker_id")).alias("log_speakers"),
         F.count_distinct(target).cast("double").alias("n_targets"),
-        F.avg(value).alias("mean_sentiment"),
+        T.exact_mean(F.col(value)).alias("mean_sentiment"),
     )
     names = ["log_mentions", "log_speeches", "log_speakers", "n_targets", "mean_sentiment"]
     return wide.unpivot([row], names, "feature", "value")

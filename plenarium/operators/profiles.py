@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenarium.functions import text as T
+
 
 def distribution(df: DataFrame, *keys: str, least: int = 1, top: int | None = None) -> DataFrame:
     """Counts per key, the most frequent first (ties by key); ``top`` keeps so many."""
@@ -20,7 +22,7 @@ def with_percent(counts: DataFrame, within: list[str] | None = None, value: str
 
 
 def entity_stats(df: DataFrame, key: str, value: str, least: int = 1) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 3).alias("mean_value"), F.round(F.stddev_samp(value), 3).alias("sd_value"), F.min(value).alias("min_value"), F.max(value).alias("max_value")).where(F.col("n") >= least)
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(T.exact_mean(F.col(value)), 3).alias("mean_value"), F.round(F.stddev_samp(value), 3).alias("sd_value"), F.min(value).alias("min_value"), F.max(value).alias("max_value")).where(F.col("n") >= least)
 
 
 def pivot_counts(df: DataFrame, row: str, column: str, levels: list[str]) -> DataFrame:
@@ -31,11 +33,6 @@ def pivot_counts(df: DataFrame, row: str, column: str, levels: list[str]) -> Dat
     return df.groupBy(row).agg(*[F.count_if(F.col(column) == x).alias(re.sub(r"\W", "_", x)) for x in levels])
 
 
-def mean_thousandths(column: str) -> Column:
-    """The mean of scores of three decimals, summed as whole numbers, so that it does not depend on the order of rows."""
-    return F.avg(F.round(F.col(column) * 1000).cast("long")) / 1000
-
-
 def modes(df: DataFrame, keys: list[str], columns: list[str]) -> list[Column]:
     return [F.mode(c, deterministic=True).alias(f"dominant_{c}") for c in columns]
 
@@ -53,7 +50,7 @@ def mention_profile(df: DataFrame, keys: list[str], modal: list[str], joined: li
         F.count(F.lit(1)).alias("n_mentions"),
         F.min("source_year").alias("first_year"),
         F.max("source_year").alias("last_year"),
-        F.round(mean_thousandths("concreteness_score"), 3).alias("mean_concreteness"),
+        F.round(T.exact_mean(F.col("concreteness_score"), 3), 3).alias("mean_concreteness"),
         *modes(df, keys, modal),
         *[joined_set(c, f"{c}_seen") for c in joined],
     )

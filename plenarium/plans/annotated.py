@@ -135,7 +135,7 @@ def e15_target_summary(spark, folder):
 def e16_regional_concreteness(spark, folder):
     m = _mentions(spark, folder).where("concreteness_score is not null")
     s = F.col("concreteness_score")
-    return m.groupBy("region_group").agg(F.count(F.lit(1)).alias("n"), F.round(P.mean_thousandths("concreteness_score"), 3).alias("mean_score"), F.round(F.median(s), 3).alias("median_score"), F.round(F.stddev_samp(s), 3).alias("sd_score"))
+    return m.groupBy("region_group").agg(F.count(F.lit(1)).alias("n"), F.round(T.exact_mean(F.col("concreteness_score"), 3), 3).alias("mean_score"), F.round(F.median(s), 3).alias("median_score"), F.round(F.stddev_samp(s), 3).alias("sd_score"))
 
 
 def e18_mention_profile(spark, folder):
@@ -147,7 +147,7 @@ def e19_yearly_profile(spark, folder):
 
 
 def e21_patterns(spark, folder):
-    return _mentions(spark, folder).groupBy("narrative_frame", "argument_scheme", "policy_agency").agg(F.count(F.lit(1)).alias("n"), F.round(P.mean_thousandths("concreteness_score"), 3).alias("mean_score"))
+    return _mentions(spark, folder).groupBy("narrative_frame", "argument_scheme", "policy_agency").agg(F.count(F.lit(1)).alias("n"), F.round(T.exact_mean(F.col("concreteness_score"), 3), 3).alias("mean_score"))
 
 
 def e22_first_excerpt(spark, folder):
@@ -159,7 +159,7 @@ def e22_first_excerpt(spark, folder):
 
 def e24_source_summary(spark, folder):
     m = _mentions(spark, folder)
-    return m.groupBy("country").agg(F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("speech_id").alias("n_speeches"), F.count_distinct("entity_name").alias("n_targets"), F.avg("sentence_sentiment_value").alias("mean_sentiment"), P.mean_thousandths("concreteness_score").alias("mean_concreteness"), *P.modes(m, ["country"], LABELS))
+    return m.groupBy("country").agg(F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("speech_id").alias("n_speeches"), F.count_distinct("entity_name").alias("n_targets"), T.exact_mean(F.col("sentence_sentiment_value")).alias("mean_sentiment"), T.exact_mean(F.col("concreteness_score"), 3).alias("mean_concreteness"), *P.modes(m, ["country"], LABELS))
 
 
 def e31_top_values(spark, folder):
@@ -320,7 +320,7 @@ ORACLE = {
     "c15_top_or_other": """WITH top AS (SELECT entity_content FROM facts WHERE entity_content IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)
         SELECT CASE WHEN entity_content IN (SELECT entity_content FROM top) THEN entity_content ELSE 'other' END AS entity_content, count(*) AS n FROM facts GROUP BY 1""",
     "e1_topics": "SELECT debate_topic, count(*) AS n FROM facts GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 20",
-    "e2_entity_stats": "SELECT entity_content, count(*) AS n, round(avg(sentence_sentiment_value), 3) AS mean_value, round(stddev_samp(sentence_sentiment_value), 3) AS sd_value, min(sentence_sentiment_value) AS min_value, max(sentence_sentiment_value) AS max_value FROM facts WHERE entity_content IS NOT NULL GROUP BY 1 HAVING count(*) >= 5",
+    "e2_entity_stats": "SELECT entity_content, count(*) AS n, round(avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) / 10000, 3) AS mean_value, round(stddev_samp(sentence_sentiment_value), 3) AS sd_value, min(sentence_sentiment_value) AS min_value, max(sentence_sentiment_value) AS max_value FROM facts WHERE entity_content IS NOT NULL GROUP BY 1 HAVING count(*) >= 5",
     "e3_distribution": "SELECT entity_category, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS percent FROM facts GROUP BY 1",
     "e4_type_by_sentiment": _W + f" SELECT ref_type, {_SENT} FROM mentions GROUP BY 1",
     "e5_three_keys": _W + " SELECT entity_name, ref_type, sentiment_readable, count(*) AS n FROM mentions GROUP BY 1, 2, 3 HAVING count(*) >= 3",
@@ -333,7 +333,7 @@ ORACLE = {
     "e19_yearly_profile": _W + ", g AS (SELECT entity_name, source_year, count(*) AS n_mentions, min(source_year) AS first_year, max(source_year) AS last_year, round(avg(cast(round(concreteness_score * 1000) AS bigint)) / 1000, 3) AS mean_concreteness FROM mentions GROUP BY 1, 2) SELECT g.*, " + _DOM(MODAL[:6]) + " FROM g" + _MODE("entity_name, source_year", MODAL[:6]),
     "e21_patterns": _W + " SELECT narrative_frame, argument_scheme, policy_agency, count(*) AS n, round(avg(cast(round(concreteness_score * 1000) AS bigint)) / 1000, 3) AS mean_score FROM mentions GROUP BY 1, 2, 3",
     "e22_first_excerpt": _W + ", c AS (SELECT *, " + _COMPACT + " AS short FROM mentions) SELECT entity_name, count(*) AS n, arg_min(" + _EXCERPT.format("short", 120) + ", {'d': session_date, 'f': fact_id}) AS first_excerpt FROM c GROUP BY 1",
-    "e24_source_summary": _W + ", g AS (SELECT country, count(*) AS n_mentions, count(DISTINCT speech_id) AS n_speeches, count(DISTINCT entity_name) AS n_targets, avg(sentence_sentiment_value) AS mean_sentiment, avg(cast(round(concreteness_score * 1000) AS bigint)) / 1000 AS mean_concreteness FROM mentions GROUP BY 1) SELECT g.*, " + _DOM(LABELS) + " FROM g" + _MODE("country", LABELS),
+    "e24_source_summary": _W + ", g AS (SELECT country, count(*) AS n_mentions, count(DISTINCT speech_id) AS n_speeches, count(DISTINCT entity_name) AS n_targets, avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) / 10000 AS mean_sentiment, avg(cast(round(concreteness_score * 1000) AS bigint)) / 1000 AS mean_concreteness FROM mentions GROUP BY 1) SELECT g.*, " + _DOM(LABELS) + " FROM g" + _MODE("country", LABELS),
     "e34_crosstab": _W + " SELECT policy_agency, " + ", ".join(f"count(*) FILTER (argument_scheme = '{x}') AS {x}" for x in ("conceptual_definition", "argument_from_consequences", "practical_reasoning", "other")) + " FROM mentions GROUP BY 1",
     "e35_nested_results": "SELECT country, count(*) AS n_records, count(DISTINCT speech_id) AS n_speeches FROM (SELECT DISTINCT country, speech_id, sentence_id, speaker_id FROM facts WHERE entity_category = 'ORG' AND speaker_id IS NOT NULL) GROUP BY 1",
     "e36_value_counts": "SELECT country, count(*) AS n_values, string_agg(debate_topic || ':' || n, ',' ORDER BY n DESC, debate_topic) AS value_counts FROM (SELECT country, debate_topic, count(*) AS n FROM facts WHERE debate_topic IS NOT NULL GROUP BY 1, 2) GROUP BY 1",

@@ -192,7 +192,7 @@ QUERIES = {n: f for n, f in list(globals().items()) if n[0] != "_" and n[1:2].is
 _R = f"WITH {S.RESOLVED}"
 _M = _R + f""", matrix AS (
   SELECT r.country, r.target_iso3, count(*) AS n_mentions, count(DISTINCT speech_id) AS n_speeches, count(DISTINCT speaker_id) AS n_speakers,
-    avg(sentence_sentiment_value) AS mean_sentiment, stddev_samp(sentence_sentiment_value) AS sd_sentiment, min(m.target_name) AS target_name
+    avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) / 10000 AS mean_sentiment, stddev_samp(sentence_sentiment_value) AS sd_sentiment, min(m.target_name) AS target_name
   FROM resolved r LEFT JOIN {S.mode("country, target_iso3", "target_name", "resolved", "target_name")} m ON r.country = m.country AND r.target_iso3 = m.target_iso3
   GROUP BY 1, 2)"""
 _G = _R + """, per AS (
@@ -202,7 +202,7 @@ counted AS (SELECT *, len(regexp_extract_all(w, '\b\d+([.,]\d+)?\b')) AS n_numbe
 grounded AS (SELECT c.*, n_per, n_loc, n_org, (n_per + n_loc + n_org + n_numbers + n_years) * 1000.0 / greatest(n_tokens, 1) AS grounded_score FROM counted c LEFT JOIN per USING (sentence_id))"""
 _A = _R + """, attention AS (
   SELECT country, target_iso3, cast(year(session_date) AS int) AS source_year, CASE WHEN target_iso3 IN (SELECT country FROM resolved) THEN 'reciprocal_asymmetry_candidate' ELSE 'external_target' END AS analysis_scope,
-    count(*) AS n_mentions, count(DISTINCT speech_id) AS n_speeches, count(DISTINCT speaker_id) AS n_speakers, avg(sentence_sentiment_value) AS mean_sentiment
+    count(*) AS n_mentions, count(DISTINCT speech_id) AS n_speeches, count(DISTINCT speaker_id) AS n_speakers, avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) / 10000 AS mean_sentiment
   FROM resolved GROUP BY 1, 2, 3, 4)"""
 _RATIO = _M + """, ratio AS (
   SELECT f.country AS source, f.target_iso3 AS target, f.n_mentions AS n_forward, coalesce(b.n_mentions, 0) AS n_reverse, f.n_mentions / (coalesce(b.n_mentions, 0) + 1) AS ratio
@@ -210,7 +210,7 @@ _RATIO = _M + """, ratio AS (
 _COUNTS = _R + ", counts AS (SELECT country, target_iso3, count(*) AS n FROM resolved GROUP BY 1, 2)"
 _FEATURES = _R + """, prof AS (
   SELECT country, ln(1 + count(*)) AS log_mentions, ln(1 + count(DISTINCT speech_id)) AS log_speeches, ln(1 + count(DISTINCT speaker_id)) AS log_speakers,
-    cast(count(DISTINCT target_iso3) AS double) AS n_targets, avg(sentence_sentiment_value) AS mean_sentiment FROM resolved GROUP BY 1),
+    cast(count(DISTINCT target_iso3) AS double) AS n_targets, avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) / 10000 AS mean_sentiment FROM resolved GROUP BY 1),
 long AS (UNPIVOT prof ON log_mentions, log_speeches, log_speakers, n_targets, mean_sentiment INTO NAME feature VALUE value),
 present AS (
   SELECT country, feature, value FROM long
@@ -248,7 +248,7 @@ ORACLE = {
         ln(((n_forward + 0.5) * 1000.0 / (s.n + 1)) / ((n_reverse + 0.5) * 1000.0 / (coalesce(o.n, 0) + 1))) AS log_ratio
         FROM ratio JOIN t s ON s.country = source LEFT JOIN t o ON o.country = target""",
     "e11_shock_window": _R + f""", w AS (SELECT *, session_date < date '{SHOCK}' AS pre FROM resolved WHERE session_date BETWEEN date '{SHOCK}' - 90 AND date '{SHOCK}' + 90),
-        s AS (SELECT country, target_iso3, count(*) FILTER (pre) AS n_pre, count(*) FILTER (NOT pre) AS n_post, avg(sentence_sentiment_value) FILTER (pre) AS sentiment_pre, avg(sentence_sentiment_value) FILTER (NOT pre) AS sentiment_post FROM w GROUP BY 1, 2)
+        s AS (SELECT country, target_iso3, count(*) FILTER (pre) AS n_pre, count(*) FILTER (NOT pre) AS n_post, avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) FILTER (pre) / 10000 AS sentiment_pre, avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) FILTER (NOT pre) / 10000 AS sentiment_post FROM w GROUP BY 1, 2)
         SELECT *, n_post - n_pre AS delta_n, sentiment_post - sentiment_pre AS delta_sentiment FROM s""",
     "e27_yearly_attention": _A + " SELECT * FROM attention",
     "e28_yearly_total": "SELECT source_year, cast(sum(n_mentions) AS bigint) AS total_mentions, count(DISTINCT country) AS n_source_parliaments FROM task9_ukraine_yearly_attention GROUP BY 1",
@@ -256,7 +256,7 @@ ORACLE = {
     "d13_zero_filled": """WITH c AS (SELECT country, entity_category, count(*) AS n FROM facts WHERE entity_category IS NOT NULL GROUP BY 1, 2)
         SELECT r.country, k.entity_category, coalesce(n, 0) AS n FROM (SELECT DISTINCT country FROM c) r CROSS JOIN (SELECT DISTINCT entity_category FROM c) k LEFT JOIN c ON c.country = r.country AND c.entity_category = k.entity_category""",
     "m2_share_matrix": _COUNTS + ", top AS (SELECT target_iso3 FROM counts GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 25), s AS (SELECT *, n / sum(n) OVER (PARTITION BY country) AS share FROM counts) SELECT * FROM s WHERE target_iso3 IN (SELECT target_iso3 FROM top)",
-    "m4_masked_means": _R + " SELECT country, target_iso3, count(*) AS n, CASE WHEN count(*) >= 20 THEN avg(sentence_sentiment_value) END AS mean_value FROM resolved GROUP BY 1, 2",
+    "m4_masked_means": _R + " SELECT country, target_iso3, count(*) AS n, CASE WHEN count(*) >= 20 THEN avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) / 10000 END AS mean_value FROM resolved GROUP BY 1, 2",
     "m5_profile_features": _FEATURES + " SELECT * FROM long",
     "m6_features": _FEATURES + " SELECT * FROM features",
     "m7_zscores": _FEATURES + " SELECT country, feature, round(z, 6) AS z FROM z",
