@@ -74,7 +74,7 @@ def infer_dialects(rows: DataFrame, fields: list[str]) -> dict[str, Dialect]:
     has a fixed size per field. A field without sure items is split at every candidate but the slash."""
     text, items, sure = F.col("text"), F.col("items"), F.col("sure")
     listed = F.when(_bulleted(text), F.transform(F.split(_no_bullets(text), r"\n"), F.trim))
-    named = rows.where(text.rlike(r"\S")).select("field", "text", _list_items(text).alias("items")).select("field", "text", F.coalesce(items, listed).alias("sure"), F.regexp_replace(text, QUOTES, "q").alias("outside"))
+    named = rows.where(text.rlike(r"\S") & F.col("field").isin(fields)).select("field", "text", _list_items(text).alias("items")).select("field", "text", F.coalesce(items, listed).alias("sure"), F.regexp_replace(text, QUOTES, "q").alias("outside"))
 
     def candidate(name: str, delimiter: str) -> Column:
         there = sure.isNull() & F.col("outside").rlike(f"(?s){delimiter}")
@@ -133,7 +133,7 @@ def items_of(text: Column, dialect: Dialect) -> Column:
 def unpack(rows: DataFrame, fields: list[str]) -> DataFrame:
     """``rows`` (columns ``record_table``, ``record_id``, ``field``, ``text``) as one row per item, with ``pos`` from 1.
 
-    Null, empty and blank texts give no row, nor do empty items; equal items stay. A text with one item gives one row.
+    Null, empty and blank texts give no row, nor do empty items and fields not asked for; equal items stay. A text with one item gives one row.
     Narrow: no shuffle but that of the scores."""
     dialects = infer_dialects(rows.select("field", "text"), fields)
     items = None

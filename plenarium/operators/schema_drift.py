@@ -214,4 +214,4 @@ def unified(lines: DataFrame) -> DataFrame:
 
     names = files.unionByName(edges).groupBy("task").applyInPandas(connect, "task string, field string, name string")
     text = F.when(F.col("kind") == "string", F.expr("from_json(concat('[', value, ']'), 'array<string>')[0]")).otherwise(F.col("value"))
-    return fields.join(names, ["task", "field"]).select("line_id", *FILE, "record_key", F.col("name").alias("field"), text.alias("value"), F.expr("try_cast(value as double)").alias("number"))
+    return fields.join(names, ["task", "field"]).select("line_id", *FILE, "record_key", F.col("name").alias("field"), text.alias("value"), text.try_cast("double").alias("number"))

@@ -110,8 +110,8 @@ def union_relaxed(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)
 
 
-def with_source(df: DataFrame, column: str = "source_country", pattern: str = r"([A-Z]{3})_[^/]*$") -> DataFrame:
-    """A column with the source in each file's name."""
+def with_source(df: DataFrame, column: str = "source_country", pattern: str = r"/([A-Z]{3})_[^/]*(?:/[^/]+)?$") -> DataFrame:
+    """A column with the source in the name of each file, or of the folder that holds its parts."""
     return df.withColumn(column, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
