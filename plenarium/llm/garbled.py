@@ -86,7 +86,7 @@ _S = regex.escape(_SIGNS)
 _WORDS = regex.compile(rf"(?<![\p{{L}}])[\p{{L}}\p{{M}}{_S}]+(?![\p{{L}}])")
 # Each case begins with its rare character, so that clean text is passed over fast.
 _ODD = regex.compile(
-    rf"[{_S}](?<=\p{{Latin}}.)(?=\p{{Ll}})"  # a sign inside a word
+    rf"[{_S}](?<=\p{{Latin}}[^·]|\p{{Ll}}{{2}}·)(?=\p{{Ll}})"  # a sign inside a word (a dot may stand between units)
     r"|[À-ÖØ-ÞŸŠŽŒ](?<=\p{Ll}.)(?=\p{Ll})"  # a capital accent between small letters
     r"|[Ͱ-Ͽ](?<=\p{Latin}.)(?=\p{Latin})"  # a Greek letter inside a Latin word
     r"|[╔╓═├](?<![\p{L}\s─│├└].)(?=\p{Ll})|[√÷╔╓](?<=\s.)(?=\p{Ll})"  # a sign for a first letter

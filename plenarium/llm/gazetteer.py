@@ -87,12 +87,13 @@ class Trie:
             node = node.setdefault(c, {})
         node.setdefault("", set()).add(identifier)
 
-    def search(self, word: str) -> dict[str, int]:
-        """Identifiers of all entries that ``word`` is within the ``reach`` of, each with its least distance.
+    def search(self, word: str) -> dict[str, tuple[int, int]]:
+        """Identifiers of all entries that ``word`` is within the ``reach`` of, each with its least distance and, negative,
+        the letters of the entry at that distance.
 
         The automaton's state is the row of distances between the path walked in the trie and the beginnings of
         ``word``; a state of which no cell is within ``limit`` is dead, and the subtree is left out."""
-        found: dict[str, int] = {}
+        found: dict[str, tuple[int, int]] = {}
         n = len(word)
         limit = reach(n + 2)
         # an edit is at most `limit` places off the diagonal, so only that band of the row is kept exact
@@ -101,7 +102,7 @@ class Trie:
             node, last, row, before, depth = stack.pop()
             if "" in node and row[n] <= reach(max(n, depth)):
                 for identifier in node[""]:
-                    found[identifier] = min(found.get(identifier, limit + 1), row[n])
+                    found[identifier] = min(found.get(identifier, (limit + 1, 0)), (row[n], -depth))
             for c, child in node.items():
                 if not c:
                     continue
@@ -160,18 +161,19 @@ def nearest(trie: Trie, name: str) -> str:
 
     A code stands for its entry. Else the entry at the least distance within reach counts, over all readings of the
     name; a name cut off counts by the letters it lacks. Two different identifiers equally near: the name that needs
-    no completion wins, then the lower identifier."""
-    best: tuple[int, int, str] | None = None
+    no completion wins, then the longer entry (more of its letters are there), then the lower identifier."""
+    best: tuple[int, int, int, str] | None = None
+    none = (99, 0, 0, "")
     for text in readings(name):
         key = text.replace(" ", "")
         if len(key) <= 4 and key in trie.codes:
             return trie.codes[key]
-        for identifier, distance in trie.search(key).items():
-            best = min(best or (99, 0, ""), (distance, 0, identifier))
+        for identifier, (distance, letters) in trie.search(key).items():
+            best = min(best or none, (distance, 0, letters, identifier))
         if len(key) >= 4 and (best is None or best[0] > 0):
             for identifier, extra in trie.completions(key, 2 if len(key) < 6 else 3).items():
-                best = min(best or (99, 0, ""), (1 if extra < 3 else 2, 1, identifier))
-    return best[2] if best else NONE
+                best = min(best or none, (1 if extra < 3 else 2, 1, extra, identifier))
+    return best[3] if best else NONE
 
 
 def match_names(rows: DataFrame, key: str, name: str, reference: DataFrame, identifier: str, entry: str, result: str) -> DataFrame:
