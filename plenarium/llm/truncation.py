@@ -17,55 +17,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from plenarium.plans.lineage import cut
+
 #: A trigram seen inside at least ``SEEN`` times is known; it is "almost never last" below the share ``RARE`` of ends.
 SEEN, RARE = 3, 0.05
 #: A length is a source's limit if at least so many cut texts have it, and this share of the source's cut texts.
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.3
 
-SQL = r"""
+_TEXTS = r"""
 WITH texts AS (
   SELECT part, id, source, text,
     text RLIKE r'(\[(\.\.\.|…)\]|\.\.\.|…|[,;:(—–])\s*$' AS marked,
     trim(regexp_replace(text, r'\s*(\[(\.\.\.|…)\]|\.\.\.|…)\s*$', '')) AS body
   FROM {records} WHERE text IS NOT NULL AND text RLIKE r'\S'
-),
-sentences AS (
-  SELECT part, id, source, marked, char_length(text) AS chars, octet_length(text) AS bytes,
-    pos = size(parts) - 1 AS last, lower(sentence) AS sentence,
-    sentence RLIKE r'[.!?]["”’)\]]*$' AS stopped
-  FROM (SELECT *, split(body, r'(?<=[.!?])\s+') AS parts FROM texts) LATERAL VIEW posexplode(parts) AS pos, sentence
-),
-worded AS (
-  SELECT * EXCEPT (sentence), concat(array('^', '^'), filter(
-      transform(split(sentence, r'\s+'), w -> regexp_replace(w, r'^[^\pL\pN]+|[^\pL\pN]+$', '')), w -> w <> '')) AS w
-  FROM sentences
-),
-trigrams AS (
-  SELECT w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count_if(i < size(w) - 3) AS inside,
-    count_if(i = size(w) - 3) AS ends, count_if(i = size(w) - 3 AND stopped) AS stops
-  FROM (SELECT w, stopped, explode(sequence(0, size(w) - 3)) AS i FROM worded WHERE size(w) > 2)
-  GROUP BY 1, 2, 3
+)"""
+_WORDS = r"""concat(array('^', '^'), filter(
+      transform(split(lower(sentence), r'\s+'), w -> regexp_replace(w, r'^[^\pL\pN]+|[^\pL\pN]+$', '')), w -> w <> ''))"""
+_STOPPED = r"""sentence RLIKE r'[.!?]["”’)\]]*$'"""
+
+#: Word trigrams of all sentences: how often inside, last, and last with a full stop.
+TRIGRAMS = rf"""{_TEXTS},
+sentences AS (SELECT explode(split(body, r'(?<=[.!?])\s+')) AS sentence FROM texts),
+worded AS (SELECT {_WORDS} AS w, {_STOPPED} AS stopped FROM sentences)
+SELECT w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count_if(i < size(w) - 3) AS inside,
+  count_if(i = size(w) - 3) AS ends, count_if(i = size(w) - 3 AND stopped) AS stops
+FROM (SELECT w, stopped, explode(sequence(0, size(w) - 3)) AS i FROM worded WHERE size(w) > 2)
+GROUP BY 1, 2, 3
+"""
+
+#: The verdict on every text, by its last sentence and the counts.
+VERDICT = rf"""{_TEXTS},
+tails AS (
+  SELECT part, id, source, marked, chars, bytes, {_STOPPED} AS stopped, {_WORDS} AS w
+  FROM (SELECT part, id, source, marked, char_length(text) AS chars, octet_length(text) AS bytes, element_at(split(body, r'(?<=[.!?])\s+'), -1) AS sentence FROM texts)
 ),
 bigrams AS (
-  SELECT w2, w3, sum(inside) AS inside, sum(ends) AS ends, sum(stops) AS stops FROM trigrams GROUP BY 1, 2
+  SELECT w2, w3, sum(inside) AS inside, sum(ends) AS ends, sum(stops) AS stops FROM {{trigrams}} GROUP BY 1, 2
 ),
 finals AS (
   SELECT part, id, source, chars, bytes, element_at(w, -3) AS w1, element_at(w, -2) AS w2, element_at(w, -1) AS w3
-  FROM worded WHERE last AND NOT stopped AND NOT marked AND size(w) > 2
+  FROM tails WHERE NOT stopped AND NOT marked AND size(w) > 2
 ),
 asked AS (SELECT w1, w2, w3, count(*) AS texts FROM finals GROUP BY 1, 2, 3),
 beginnings AS (
-  SELECT DISTINCT a.w1, a.w2, a.w3 FROM asked a JOIN trigrams t
+  SELECT DISTINCT a.w1, a.w2, a.w3 FROM asked a JOIN {{trigrams}} t
   ON a.w1 = t.w1 AND a.w2 = t.w2 AND startswith(t.w3, a.w3) AND t.w3 <> a.w3 AND t.inside + t.stops > 0
 ),
 judged AS (
   SELECT a.w1, a.w2, a.w3, CASE
       WHEN t.inside = 0 AND t.stops = 0 AND b.w3 IS NOT NULL THEN true
-      WHEN t.inside + t.ends - a.texts >= {seen} THEN t.ends - least(a.texts, t.ends) + t.stops < {rare} * t.inside
-        AND t.ends < greatest({rare} * t.inside, a.texts + 1)
-      WHEN g.inside + g.ends - a.texts >= {seen} THEN g.stops < {rare} * g.inside
-      ELSE t.stops = 0 AND g.stops = 0 AND t.ends < {seen} END AS cut
-  FROM asked a JOIN trigrams t ON a.w1 = t.w1 AND a.w2 = t.w2 AND a.w3 = t.w3
+      WHEN t.inside + t.ends - a.texts >= {{seen}} THEN t.ends - least(a.texts, t.ends) + t.stops < {{rare}} * t.inside
+        AND t.ends < greatest({{rare}} * t.inside, a.texts + 1)
+      WHEN g.inside + g.ends - a.texts >= {{seen}} THEN g.stops < {{rare}} * g.inside
+      ELSE t.stops = 0 AND g.stops = 0 AND t.ends < {{seen}} END AS cut
+  FROM asked a JOIN {{trigrams}} t ON a.w1 = t.w1 AND a.w2 = t.w2 AND a.w3 = t.w3
   JOIN bigrams g ON a.w2 = g.w2 AND a.w3 = g.w3
   LEFT JOIN beginnings b ON a.w1 = b.w1 AND a.w2 = b.w2 AND a.w3 = b.w3
 ),
@@ -75,9 +80,9 @@ limits AS (
     SELECT source, kind, length, count(*) AS n, sum(count(*)) OVER (PARTITION BY source, kind) AS cuts
     FROM (SELECT source, stack(2, 'chars', chars, 'bytes', bytes) AS (kind, length) FROM open WHERE cut)
     GROUP BY source, kind, length)
-  WHERE n >= {limit_texts} AND n >= {limit_share} * cuts
+  WHERE n >= {{limit_texts}} AND n >= {{limit_share}} * cuts
 )
-SELECT part, id, source FROM sentences WHERE last AND marked
+SELECT part, id, source FROM tails WHERE marked
 UNION ALL SELECT part, id, source FROM open WHERE cut
 UNION ALL SELECT DISTINCT o.part, o.id, o.source FROM open o JOIN limits l
   ON o.source = l.source AND o.chars = CASE l.kind WHEN 'chars' THEN l.length ELSE o.chars END
@@ -89,6 +94,10 @@ def truncated(records: DataFrame) -> DataFrame:
     """The cut ones of ``records`` (columns ``part``, ``id``, ``source``, ``text``), without the text.
 
     ``id`` is unique within ``part``; ``source`` may be null. Null, empty and blank texts are no cases; repeated
-    records are cases each; an empty table gives an empty table. Counts cover all texts.
+    records are cases each; an empty table gives an empty table. Counts cover all texts. Texts are cut into words once;
+    the trigram table, far smaller than the texts, is written to the shared checkpoint folder and read three times.
     """
-    return records.sparkSession.sql(SQL, records=records.select("part", "id", "source", "text"), seen=SEEN, rare=RARE, limit_texts=LIMIT_TEXTS, limit_share=LIMIT_SHARE)
+    session = records.sparkSession
+    records = records.select("part", "id", "source", "text")
+    trigrams = cut(session.sql(TRIGRAMS, records=records))
+    return session.sql(VERDICT, records=records, trigrams=trigrams, seen=SEEN, rare=RARE, limit_texts=LIMIT_TEXTS, limit_share=LIMIT_SHARE)
