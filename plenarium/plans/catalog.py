@@ -12,9 +12,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenarium.plans import annotated, dyads, files, problems, streams
+from plenarium.plans import annotated, dyads, files, problems, reports, streams
 
-_MODULES = (problems, dyads, annotated, files, streams)
+_MODULES = (problems, dyads, annotated, reports, files, streams)
 
 #: Columns with fractions, by query (the SQL has to name them).
 FRACTIONS: dict[str, str] = {
@@ -56,6 +56,17 @@ FRACTIONS: dict[str, str] = {
     "v6_polarity_shares": "share_positive share_negative",
     "z_scalar_check": "log_chars",
     "c17_safe_label": "mean_ratio",
+    "c16_fact_score": "fact_score",
+    "e17_visible_targets": "mean_score",
+    "e20_target_year": "mean_score median_score",
+    "e23_year_summary": "mean_score",
+    "e30_source_totals": "per_thousand",
+    "i4_europe_events": "concreteness_score",
+    "j7_global_top": "concreteness_score",
+    "m12_extreme_cells": "mean_value",
+    "m13_share_leaders": "share",
+    "v4_mean_by_year": "mean_score",
+    "v8_timeline": "concreteness_score",
 }
 
 
