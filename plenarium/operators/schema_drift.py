@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenarium.plans.lineage import cut
+
 FILE = ["series", "task", "run_no"]
 #: Flooding ends when no score moves by more than this, or after so many rounds.
 SETTLED, ROUNDS = 1e-3, 50
@@ -179,10 +181,13 @@ def drift(lines: DataFrame) -> DataFrame:
     """All changes of fields between the files of each series and task (see ``changes``).
 
     A file is the lines of one run number; it is held against the file with the next lower number present. Types are
-    compared where a field has non-null values in both files. An empty table and single files have no changes."""
+    compared where a field has non-null values in both files. An empty table and single files have no changes.
+
+    Schemas and renamings (a row per field of a file, no records) are written to the shared checkpoint folder, so that
+    lines are parsed twice only: for the schemas and for the values of candidates."""
     fields = read_fields(lines)
-    schema = schemas(fields)
-    return changes(schema, renamings(fields, correspondences(schema)))
+    schema = cut(schemas(fields))
+    return changes(schema, cut(renamings(fields, correspondences(schema))))
 
 
 def unified(lines: DataFrame) -> DataFrame:
@@ -192,7 +197,7 @@ def unified(lines: DataFrame) -> DataFrame:
     All names that confirmed renamings of a task connect, in any series, are one field; it has the name that most
     files use (the alphabetically first of equally frequent ones). Lines delivered twice stay, with their ``line_id``."""
     fields = read_fields(lines)
-    schema = schemas(fields)
+    schema = cut(schemas(fields))
     renamed = renamings(fields, correspondences(schema))
     files = schema.groupBy("task", "field").agg(F.count(F.lit(1)).alias("files")).withColumn("other", F.col("field"))
     edges = renamed.select("task", F.col("field_old").alias("field"), F.lit(0).cast("long").alias("files"), F.col("field_new").alias("other")).distinct()
