@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,8 +55,8 @@ def spaced_tokens(c: Column) -> Column:
 def tokens(c: Column, stopwords: Iterable[str] = vocab.STOPWORDS) -> Column:
     """Lower-case words of Latin letters without the stopwords; an empty list for null."""
     found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
-    stop = F.array(*map(F.lit, stopwords))
-    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+    stop = list(stopwords)
+    return F.filter(found, lambda t: ~t.isin(stop))
 
 
 def compact(c: Column) -> Column:
@@ -94,17 +94,25 @@ def stem_pattern(stems: Iterable[str] = vocab.STEMS) -> str:
     return "|".join(stems)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value of ``c``, evaluated once. Without that, Catalyst may put the expression behind a column into
+    a lambda, where it is evaluated for every element."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def contains_any(c: Column, markers: Iterable[str]) -> Column:
     """Whether a (lower-case) text holds a marker; false for null."""
     markers = [m.lower() for m in markers]
     if not markers:
         return F.lit(False)
-    return F.coalesce(F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(c, m)), F.lit(False))
+    known = F.array(*map(F.lit, markers))
+    return F.coalesce(once(c, lambda t: F.exists(known, lambda m: F.contains(t, m))), F.lit(False))
 
 
 def hits(c: Column, markers: Iterable[str]) -> Column:
     """How many different markers a (lower-case) text holds."""
-    return F.size(F.filter(F.array(*map(F.lit, sorted({m.lower() for m in markers}))), lambda m: F.contains(c, m)))
+    known = F.array(*map(F.lit, sorted({m.lower() for m in markers})))
+    return once(c, lambda t: F.size(F.filter(known, lambda m: F.contains(t, m))))
 
 
 def first_marker(c: Column, markers: Iterable[str]) -> Column:
@@ -112,7 +120,8 @@ def first_marker(c: Column, markers: Iterable[str]) -> Column:
     ordered = sorted({m.lower() for m in markers}, key=lambda m: (-len(m), m))
     if not ordered:
         return F.lit("")
-    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, ordered)), lambda m: F.contains(c, m)), F.lit(0)), F.lit(""))
+    known = F.array(*map(F.lit, ordered))
+    return F.coalesce(once(c, lambda t: F.get(F.filter(known, lambda m: F.contains(t, m)), F.lit(0))), F.lit(""))
 
 
 def ordered_class(c: Column, classes: dict[str, list[str]], default: str) -> Column:
@@ -133,10 +142,32 @@ def class_marker(c: Column, classes: dict[str, list[str]]) -> Column:
     return F.lit("") if out is None else out.otherwise("")
 
 
+def class_first(c: Column, classes: dict[str, list[str]]) -> Column:
+    """The marker that decides ``ordered_class``, by one pass over all markers in the order of classes; empty if none."""
+    ordered = [m for markers in classes.values() for m in sorted({m.lower() for m in markers}, key=lambda m: (-len(m), m))]
+    if not ordered:
+        return F.lit("")
+    known = F.array(*map(F.lit, dict.fromkeys(ordered)))
+    return F.coalesce(once(c, lambda t: F.get(F.filter(known, lambda m: F.contains(t, m)), F.lit(0))), F.lit(""))
+
+
+def class_of(marker: Column, classes: dict[str, list[str]], default: str) -> Column:
+    """The class of a marker found by ``class_first``: the first that has it."""
+    table: dict[str, str] = {}
+    for name, markers in classes.items():
+        for m in markers:
+            table.setdefault(m.lower(), name)
+    return lookup(marker, table, default) if table else F.lit(default)
+
+
 def lookup(c: Column, table: dict[str, str], default: str) -> Column:
-    """The value of a key in a small dictionary, else the default; the default for null."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), c), F.lit(default))
+    """The value of a key in a small dictionary, else the default; the default for null.
+
+    Two arrays, not a map: Catalyst turns a look-up in a literal map into a chain of comparisons, each of which would
+    evaluate ``c`` again."""
+    at = F.array_position(F.array(*map(F.lit, table)), c)
+    return F.coalesce(F.get(F.array(*map(F.lit, table.values())), (at - 1).cast("int")), F.lit(default))
+
 
 
 def exact_mean(c: Column, decimals: int = 4) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plenarium.functions import text as T
 from plenarium.functions import vocab
 from plenarium.operators import mentions as M
+from plenarium.plans.lineage import spread
 
 PROPER = r"\b[A-Z][A-Za-zÀ-ÿ'’-]{2,}(?:\s+[A-Z][A-Za-zÀ-ÿ'’-]{2,}){0,3}\b"
 PLACE = "([A-Z][A-Za-zÀ-ÿ' -]{2,40})"
@@ -23,9 +24,9 @@ def with_context(df: DataFrame) -> DataFrame:
     return df.withColumn("context_window", w).withColumn("context_lower", F.lower("context_window"))
 
 
-def reference_type(low: Column) -> Column:
-    """policy, situation, mixed, neutral_reference, or unknown for a null or blank text."""
-    p, s = T.hits(low, vocab.POLICY), T.hits(low, vocab.SITUATION)
+def reference_type(low: Column, p: Column, s: Column) -> Column:
+    """policy, situation, mixed, neutral_reference, or unknown for a null or blank text, from the different markers of
+    both vocabularies found (``p``, ``s``)."""
     return (
         F.when(low.isNull() | (F.trim(low) == ""), "unknown")
         .when((p == 0) & (s == 0), "neutral_reference")
@@ -41,13 +42,15 @@ def sentiment_level(label: Column) -> Column:
 
 
 def add_typology(df: DataFrame) -> DataFrame:
-    level = sentiment_level(F.col("sentence_sentiment_ana"))
-    return (
-        df.withColumn("ref_type", reference_type(F.col("context_lower")))
-        .withColumn("sentiment_level", level)
-        .withColumn("sentiment_readable", T.lookup(F.col("sentiment_level"), {k: v[0] for k, v in vocab.SENTIMENTS.items()}, "unknown"))
-        .withColumn("sentiment_polarity", T.lookup(F.col("sentiment_level"), {k: v[1] for k, v in vocab.SENTIMENTS.items()}, "unknown"))
-    )
+    """Reference type and sentiment labels. The marker counts are columns first, so that each is made once."""
+    low = F.col("context_lower")
+    counted = df.withColumns({"__p": T.hits(low, vocab.POLICY), "__s": T.hits(low, vocab.SITUATION), "sentiment_level": sentiment_level(F.col("sentence_sentiment_ana"))})
+    level = F.col("sentiment_level")
+    return counted.withColumns({
+        "ref_type": reference_type(low, F.col("__p"), F.col("__s")),
+        "sentiment_readable": T.lookup(level, {k: v[0] for k, v in vocab.SENTIMENTS.items()}, "unknown"),
+        "sentiment_polarity": T.lookup(level, {k: v[1] for k, v in vocab.SENTIMENTS.items()}, "unknown"),
+    }).drop("__p", "__s")
 
 
 def add_geo(df: DataFrame, names: DataFrame) -> DataFrame:
@@ -108,18 +111,17 @@ def add_lexicon_concreteness(df: DataFrame, lexicon: DataFrame, key: str) -> Dat
 
 def add_cohort_and_measure(df: DataFrame) -> DataFrame:
     low = F.col("context_lower")
-    return df.withColumns({
-        "migrant_cohort": T.ordered_class(low, vocab.COHORTS, "unspecified"),
-        "cohort_marker": T.class_marker(low, vocab.COHORTS),
-        "policy_measure": T.ordered_class(low, vocab.MEASURES, "unspecified"),
-        "measure_marker": T.class_marker(low, vocab.MEASURES),
+    marked = df.withColumns({"cohort_marker": T.class_first(low, vocab.COHORTS), "measure_marker": T.class_first(low, vocab.MEASURES)})
+    return marked.withColumns({
+        "migrant_cohort": T.class_of(F.col("cohort_marker"), vocab.COHORTS, "unspecified"),
+        "policy_measure": T.class_of(F.col("measure_marker"), vocab.MEASURES, "unspecified"),
         "diffusion_method": F.lit("keyword_rules"),
     })
 
 
 def add_agency(df: DataFrame) -> DataFrame:
-    low = F.col("context_lower")
-    return df.withColumns({"policy_agency": T.ordered_class(low, vocab.AGENCY, "neutral_reporting"), "agency_marker": T.class_marker(low, vocab.AGENCY)})
+    marked = df.withColumn("agency_marker", T.class_first(F.col("context_lower"), vocab.AGENCY))
+    return marked.withColumn("policy_agency", T.class_of(F.col("agency_marker"), vocab.AGENCY, "neutral_reporting"))
 
 
 def argument_scheme(low: Column) -> Column:
@@ -143,8 +145,8 @@ def frame_polarity(frame: Column) -> Column:
 def add_framing(df: DataFrame, frames: dict[str, list[str]] = vocab.FRAMES) -> DataFrame:
     low = F.col("context_lower")
     return (
-        df.withColumn("narrative_frame", T.ordered_class(low, frames, "neutral_reporting"))
-        .withColumn("frame_marker", T.class_marker(low, frames))
+        df.withColumn("frame_marker", T.class_first(low, frames))
+        .withColumn("narrative_frame", T.class_of(F.col("frame_marker"), frames, "neutral_reporting"))
         .withColumn("frame_polarity", frame_polarity(F.col("narrative_frame")))
         .withColumn("argument_scheme", argument_scheme(low))
         .withColumn("definition_snippet", definition_snippet(F.col("context_window")))
@@ -215,7 +217,7 @@ def annotated_mentions(facts: DataFrame, names: DataFrame, excluded: list[str] |
     chosen = M.drop_domestic(M.filter_places(M.filter_topic(facts, True, True)))
     if excluded:
         chosen = M.filter_foreign(chosen, excluded)
-    return M.drop_self(annotate(chosen, names)).where(F.col("entity_scope") != "invalid")
+    return M.drop_self(annotate(spread(chosen, facts), names)).where(F.col("entity_scope") != "invalid")
 
 
 def concrete_events(df: DataFrame, least: float = 3.3) -> DataFrame:

@@ -17,3 +17,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plenarium-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """``df``, made by narrow steps from the table ``scan``, over all cores where the scan has fewer splits than cores (a
+    small file of one row group). A scan with enough splits, as large tables have, stays as it is: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
