@@ -174,17 +174,27 @@ def f8_speaker_join(spark, folder):
     return counts.join(people, "person").groupBy("gender").agg(F.sum("n").alias("n_mentions"))
 
 
+def _spells(spark, folder):
+    """Every order as a spell of 90 days of its customer."""
+    day = F.to_date("o_orderdate")
+    return table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate").select(F.col("o_custkey").alias("person"), day.alias("start"), F.date_add(day, 90).alias("stop"), "o_orderkey")
+
+
+def _shipped(spark, folder):
+    """Every line with its day of shipping and the customer of its order (null where the order is missing)."""
+    lines = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("day"))
+    owners = table(spark, folder, "orders", "o_orderkey", "o_custkey").withColumnRenamed("o_custkey", "person")
+    return lines.join(owners, "o_orderkey", "left").select("line", "person", "day")
+
+
 def d8_best_valid(spark, folder):
-    """Each event with the latest order of its user that was placed at most 2,000 days before (validity as an interval)."""
-    events = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), (F.col("l_partkey") % 1000).alias("person"), F.to_date("l_shipdate").alias("day"))
-    spells = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate").where("o_custkey < 1000").select(F.col("o_custkey").alias("person"), F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), 90).alias("stop"), "o_orderkey")
-    return D.best_valid(events, spells, "line", "person", "day", "start", "stop", "o_orderkey")
+    """Each line with the latest order of its customer that was placed at most 90 days before (validity as an interval)."""
+    return D.best_valid(_shipped(spark, folder), _spells(spark, folder), "line", "person", "day", "start", "stop", "o_orderkey")
 
 
 def d9_all_valid(spark, folder):
-    events = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), (F.col("l_partkey") % 1000).alias("person"), F.to_date("l_shipdate").alias("day"))
-    spells = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate").where("o_custkey < 1000").select(F.col("o_custkey").alias("person"), F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), 90).alias("stop"), "o_orderkey")
-    return D.all_valid(events, spells, "person", "day", "start", "stop").select("line", "o_orderkey")
+    """Each line with every order of its customer that was placed at most 90 days before."""
+    return D.all_valid(_shipped(spark, folder), _spells(spark, folder), "person", "day", "start", "stop").select("line", "o_orderkey")
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[0] != "_" and n[1:2].isdigit() and callable(f)}
