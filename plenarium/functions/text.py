@@ -142,13 +142,14 @@ def class_marker(c: Column, classes: dict[str, list[str]]) -> Column:
     return F.lit("") if out is None else out.otherwise("")
 
 
-def class_first(c: Column, classes: dict[str, list[str]]) -> Column:
-    """The marker that decides ``ordered_class``, by one pass over all markers in the order of classes; empty if none."""
-    ordered = [m for markers in classes.values() for m in sorted({m.lower() for m in markers}, key=lambda m: (-len(m), m))]
+def class_first(c: Column, classes: dict[str, list[str]], at_once: int = 24) -> Column:
+    """The marker that decides ``ordered_class``, by one pass over the markers in the order of classes, some ``at_once``
+    and only as far as the first that has one; empty if none."""
+    ordered = list(dict.fromkeys(m for markers in classes.values() for m in sorted({m.lower() for m in markers}, key=lambda m: (-len(m), m))))
     if not ordered:
         return F.lit("")
-    known = F.array(*map(F.lit, dict.fromkeys(ordered)))
-    return F.coalesce(once(c, lambda t: F.get(F.filter(known, lambda m: F.contains(t, m)), F.lit(0))), F.lit(""))
+    parts = [F.array(*map(F.lit, ordered[i : i + at_once])) for i in range(0, len(ordered), at_once)]
+    return F.coalesce(once(c, lambda t: F.coalesce(*[F.get(F.filter(part, lambda m: F.contains(t, m)), F.lit(0)) for part in parts])), F.lit(""))
 
 
 def class_of(marker: Column, classes: dict[str, list[str]], default: str) -> Column:

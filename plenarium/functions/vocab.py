@@ -72,29 +72,72 @@ SENTIMENTS = {
     "senti:pospos": ("strong pos", "positive"),
 }
 
-#: The frames that carry a polarity, in their order of precedence. The whole taxonomy (61 frames) is a parameter: pass
-#: any ordered dictionary of classes, or a file to ``read_classes``.
+#: The whole taxonomy (61 frames, the last one the default), in its order of precedence.
 FRAMES = _classes("""
 economic_contribution: contribution, contribute, growth, tax, labour, labor, workforce
 economic_burden: burden, cost, costs, expense, welfare, benefits
+labour_shortage: shortage, recruit, seasonal worker, vacancies
 skills_talent: talent, high-skilled, qualified, researcher, engineer
 student_mobility: student, university, study visa, campus
 entrepreneurship: entrepreneur, startup, business, investment
+demographic_need: demographic, ageing, aging, birth rate, population decline
 humanitarian_obligation: humanitarian, obligation, duty, protection, save lives
 solidarity: solidarity, share responsibility, relocation, burden sharing
 human_rights: human rights, dignity, fundamental rights, rights
 child_protection: children, minor, minors, unaccompanied
 family_reunification: family reunification, family, families
+gender_vulnerability: women, girls, violence against women, pregnant
 victimhood: victim, victims, trafficked, persecuted
 cultural_threat: culture, values, way of life, identity, civilization
 religious_threat: islam, religion, radical, secularism
+national_identity: national identity, nation, republic, citizenship
 security_threat: security, threat, danger, risk
 terrorism: terrorism, terrorist, radicalisation, radicalization
 crime: crime, criminal, delinquency, violence
 border_crisis: border, frontier, crossing, coast guard
+sovereignty: sovereignty, control our borders, national law
+rule_of_law: rule of law, law, legal, illegal
+administrative_efficiency: procedure, processing, deadline, administrative
+bureaucratic_delay: delay, backlog, waiting, slow
+asylum_right: right of asylum, asylum, refugee status
+return_deportation: return, deportation, expulsion, removal
+detention_control: detention, retention, custody
+regularization: regularization, regularisation, amnesty
+integration_success: successful integration, integrated, language course
+integration_failure: failed integration, communitarianism, ghetto
+education: school, education, training
+housing_pressure: housing, shelter, accommodation
+healthcare: health, hospital, medical
+local_capacity: municipality, local, places, capacity
+european_solidarity: european solidarity, european mechanism, relocation
+eu_failure: europe has failed, failure of europe, dublin failure
+schengen_dublin: schengen, dublin regulation, dublin
+international_law: international law, geneva convention, convention
+bilateral_cooperation: bilateral, agreement with, cooperation with
+development_aid: development aid, aid, development policy
+root_causes: root causes, causes of migration, poverty, climate
+war_conflict: war, conflict, civil war, bombing
+climate_migration: climate, drought, famine, environmental
+smuggling_trafficking: smuggler, smugglers, trafficking, passeurs
+sea_rescue: sea, rescue, shipwreck, drowning, mediterranean
+camp_conditions: camp, camps, moria, calais jungle
+colonial_history: colonial, colonization, postcolonial
 moral_panic: invasion, flood, wave, submersion
+technical_management: management, system, database, fingerprint
+data_statistics: number, statistics, figures, rate
+legal_category: definition, category, status
+policy_model: model, example, best practice
+policy_failure: failure, ineffective, does not work
+competition_attractiveness: attractive, competition, talent
+reciprocity_exchange: exchange, reciprocal, partnership
+financial_instrument: fund, funding, budget, money
+public_opinion: public opinion, citizens think, fear of
+electoral_politics: election, vote, party, populism
+media_visibility: media, news, images
+neutral_reporting:
 """)
 
+#: The 18 frames that carry a polarity.
 FRAME_POLARITY = {
     "positive_benefit": ["economic_contribution", "skills_talent", "student_mobility", "entrepreneurship"],
     "positive_sympathy": ["humanitarian_obligation", "solidarity", "human_rights", "child_protection", "family_reunification", "victimhood"],

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from plenarium.functions import vocab
+from plenarium.operators import annotate as A
 from plenarium.plans import dyads
 
 
@@ -22,3 +24,18 @@ def test_spells_of_all_customers(spark, tmp_path):
     best = {r["line"]: r["o_orderkey"] for r in dyads.d8_best_valid(spark, folder).collect()}
     assert best == {line: max(found)[1] if found else None for line, found in valid.items()}
     assert best == {11: 1, 12: None, 21: 2, 22: 3, 31: 3, 41: 4, 91: None}
+
+
+def test_all_frames(spark):
+    texts = {
+        "The backlog grew.": ("bureaucratic_delay", "backlog", "neutral_administrative"),
+        "The nation and its border.": ("national_identity", "nation", "neutral_administrative"),
+        "Recruit talent.": ("labour_shortage", "recruit", "neutral_administrative"),
+        "A media story.": ("media_visibility", "media", "neutral_administrative"),
+        "Guard the border.": ("border_crisis", "border", "negative_risk"),
+        "Nothing.": ("neutral_reporting", "", "neutral_administrative"),
+    }
+    df = spark.createDataFrame([(t, t.lower()) for t in texts], "context_window string, context_lower string")
+    got = {r["context_window"]: (r["narrative_frame"], r["frame_marker"], r["frame_polarity"]) for r in A.add_framing(df).collect()}
+    assert got == texts
+    assert len(vocab.FRAMES) == 61 and sum(map(len, vocab.FRAMES.values())) == 226
