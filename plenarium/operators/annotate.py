@@ -164,8 +164,9 @@ def direction(low: Column, home: str = "france", land: str = "french territory")
 
 
 def flow_end(window: Column, words: list[str]) -> Column:
-    """The capitalised name after the first of ``words`` (tried in order) that has one; empty if none."""
-    found = [F.nullif(F.regexp_extract(window, rf"\b{w}\s+{PLACE}", 1), F.lit("")) for w in words]
+    """The capitalised name after the first of ``words`` (tried in order) that has one; empty if none. Letters and spaces
+    of all scripts bound the word."""
+    found = [F.nullif(F.regexp_extract(window, rf"(?U)\b{w}\s+{PLACE}", 1), F.lit("")) for w in words]
     return F.coalesce(*[F.btrim(x, F.lit(" .,;:")) for x in found], F.lit(""))
 
 

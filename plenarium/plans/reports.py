@@ -153,8 +153,7 @@ def f5_tokens(spark, folder):
 
 
 def g10_flows(spark, folder):
-    ascii_only = ~F.coalesce(F.col("context_window").rlike("[^ -~]"), F.lit(False))
-    return _mentions(spark, folder).where(ascii_only).select("fact_id", "flow_source", "flow_destination")
+    return _mentions(spark, folder).select("fact_id", "flow_source", "flow_destination")
 
 
 def i1_named_countries(spark, folder):

@@ -1,10 +1,12 @@
 """Queries that once read a part of their tables or names, over small hand-made folders."""
 
 import datetime as dt
+import re
 
 from plenarium.functions import vocab
 from plenarium.operators import annotate as A
-from plenarium.plans import dyads
+from plenarium.plans import dyads, reports
+from plenarium.sources.files import FACTS
 
 
 def folder_of(spark, tmp_path, **tables):
@@ -39,3 +41,26 @@ def test_all_frames(spark):
     got = {r["context_window"]: (r["narrative_frame"], r["frame_marker"], r["frame_polarity"]) for r in A.add_framing(df).collect()}
     assert got == texts
     assert len(vocab.FRAMES) == 61 and sum(map(len, vocab.FRAMES.values())) == 226
+
+
+def fact(i, entity="Turkey", cur="", cat="LOC", topic="immig", speaker="p1", country="GBR", speech="s1"):
+    return (i, f"{speech}.{i}", speech, dt.date(2020, 1, 1), speaker, "regular", country, topic, entity, cat, None, None, cur, None, 2.0, "senti:neuneg", dt.datetime(2024, 1, 1))
+
+
+NAMES = [("TUR", "Turkey", "short"), ("TUR", "Türkiye", "local"), ("UKR", "Україна", "local"), ("VNM", "Việt Nam", "local"), ("CIV", "Côte d'Ivoire", "local"), ("GBR", "United Kingdom", "short"), ("OMN", "Oman", "short")]
+NAMED = "iso3 string, country_name string, name_kind string"
+
+
+def test_flows_of_any_text(spark, tmp_path):
+    texts = [
+        "They fled from Genève to Besançon.", "Ils vont into Égypte, in Paris – and to Rome.", "Žene from Syria", "ééfrom Spain, to Malta", "from Côte d'Ivoire; towards Île", "Из from Albania in Україна", "plain from Mali to Chad.",
+    ]
+    folder = folder_of(spark, tmp_path, facts=([fact(i, cur=t) for i, t in enumerate(texts)], FACTS), country_list=(NAMES, NAMED))
+
+    def end(text, words):
+        found = (re.search(rf"\b{w}\s+([A-Z][A-Za-zÀ-ÿ' -]{{2,40}})", text) for w in words)
+        return next((m[1].strip(" .,;:") for m in found if m), "")
+
+    got = {r["fact_id"]: (r["flow_source"], r["flow_destination"]) for r in reports.g10_flows(spark, folder).collect()}
+    assert got == {i: (end(f" || {t} || ", ["from", "leaving"]), end(f" || {t} || ", ["to", "into", "towards", "in"])) for i, t in enumerate(texts)}
+    assert got[0] == ("Genève to Besançon", "Besançon") and got[3] == ("", "Malta")
