@@ -187,10 +187,10 @@ def anchors(window: Column, most: int = 8) -> Column:
 
 
 def named_countries(window: Column, names: list[str]) -> Column:
-    """Accepted names found in a text as whole words, longest first; a list with repeats."""
+    """Accepted names found in a text as whole words of any script, longest first; a list with repeats."""
     import re
 
-    pattern = r"\b(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + r")\b"
+    pattern = r"(?<![\p{L}\p{M}\p{N}_])(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + r")(?![\p{L}\p{M}\p{N}_])"
     return F.regexp_extract_all(F.coalesce(window, F.lit("")), F.lit(pattern), F.lit(0))
 
 

@@ -32,6 +32,8 @@ def _mean():
     return T.exact_mean(_score(), 3)
 
 
+#: The names of countries become one pattern in the driver.
+MOST_NAMES = 50_000
 KEY_TARGETS = ["UKR", "SYR", "TUR", "DEU", "GRC", "AFG", "ITA"]
 
 
@@ -157,8 +159,10 @@ def g10_flows(spark, folder):
 
 
 def i1_named_countries(spark, folder):
-    """Countries named anywhere in the current sentence, by name (plain letters), longest name first."""
-    names = sorted(r[0] for r in table(spark, folder, "country_list", "country_name").where("country_name rlike '^[ -~]+$'").distinct().limit(50_000).collect())
+    """Countries named anywhere in the current sentence, by name, longest name first."""
+    names = sorted(r[0] for r in table(spark, folder, "country_list", "country_name").where("country_name <> ''").distinct().limit(MOST_NAMES + 1).collect())
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"the list of names has more than {MOST_NAMES} entries")
     found = A.named_countries(F.col("sentence_content_current"), names)
     return _facts(spark, folder, "fact_id", "sentence_content_current").select("fact_id", F.explode(found).alias("country_name")).groupBy("country_name").agg(_n().alias("n"))
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import pytest
 from plenarium.functions import vocab
 from plenarium.operators import annotate as A
 from plenarium.plans import dyads, reports
@@ -64,3 +65,13 @@ def test_flows_of_any_text(spark, tmp_path):
     got = {r["fact_id"]: (r["flow_source"], r["flow_destination"]) for r in reports.g10_flows(spark, folder).collect()}
     assert got == {i: (end(f" || {t} || ", ["from", "leaving"]), end(f" || {t} || ", ["to", "into", "towards", "in"])) for i, t in enumerate(texts)}
     assert got[0] == ("Genève to Besançon", "Besançon") and got[3] == ("", "Malta")
+
+
+def test_names_in_any_letters(spark, tmp_path, monkeypatch):
+    texts = ["Türkiye and Turkey.", "Слава Україна, Україна!", "Việt Nam", "in Côte d'Ivoire", "éOman, Omané, Romania, Oman", None]
+    folder = folder_of(spark, tmp_path, facts=([fact(i, cur=t) for i, t in enumerate(texts)], FACTS), country_list=(NAMES, NAMED))
+    got = {r["country_name"]: r["n"] for r in reports.i1_named_countries(spark, folder).collect()}
+    assert got == {"Türkiye": 1, "Turkey": 1, "Україна": 2, "Việt Nam": 1, "Côte d'Ivoire": 1, "Oman": 1}
+    monkeypatch.setattr(reports, "MOST_NAMES", len(NAMES) - 1)
+    with pytest.raises(ValueError, match="more than"):
+        reports.i1_named_countries(spark, folder)
