@@ -87,7 +87,7 @@ def h4_lexicon_concreteness(spark, folder):
     """Scores by a word list made from the corpus' own country names (their letters count as scores)."""
     words = table(spark, folder, "country_list").select(F.explode(T.tokens(F.col("country_name"))).alias("word")).distinct()
     lexicon = words.withColumn("score", F.char_length("word") / 2.0)
-    return A.add_lexicon_concreteness(A.with_context(_facts(spark, folder).where(F.col("debate_topic") == vocab.TOPIC)), lexicon, "fact_id")
+    return A.add_lexicon_concreteness(A.with_context(_facts(spark, folder)), lexicon, "fact_id")
 
 
 def c15_top_or_other(spark, folder):
@@ -171,8 +171,9 @@ def e34_crosstab(spark, folder):
 
 
 def e35_nested_results(spark, folder):
-    nested = P.nested_results(_facts(spark, folder).where("entity_category = 'ORG' and speaker_id is not null"), "country", ["speech_id"], ["sentence_id", "speaker_id"])
-    return P.flat_results(nested, "country", ["speech_id"]).groupBy("country").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("speech_id").alias("n_speeches"))
+    """Records nested by category and entity, flat again: records and speeches per country."""
+    nested = P.nested_results(_facts(spark, folder), "entity_category", ["entity_content"], ["country", "speech_id", "sentence_id", "speaker_id"])
+    return P.flat_results(nested, "entity_category", ["entity_content"]).groupBy("country").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("speech_id").alias("n_speeches"))
 
 
 def e36_value_counts(spark, folder):
@@ -201,7 +202,7 @@ def i3_concrete_events(spark, folder):
 
 
 def i2_anchors(spark, folder):
-    return A.with_context(_facts(spark, folder).where(F.col("debate_topic") == vocab.TOPIC)).select("fact_id", A.anchors(F.col("context_window")).alias("event_anchors"))
+    return A.with_context(_facts(spark, folder)).select("fact_id", A.anchors(F.col("context_window")).alias("event_anchors"))
 
 
 def d14_places(spark, folder):

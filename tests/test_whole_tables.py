@@ -6,7 +6,7 @@ import re
 import pytest
 from plenarium.functions import vocab
 from plenarium.operators import annotate as A
-from plenarium.plans import dyads, reports
+from plenarium.plans import annotated, dyads, reports
 from plenarium.sources.files import FACTS
 
 
@@ -75,3 +75,20 @@ def test_names_in_any_letters(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(reports, "MOST_NAMES", len(NAMES) - 1)
     with pytest.raises(ValueError, match="more than"):
         reports.i1_named_countries(spark, folder)
+
+
+def test_nested_results_of_all_categories_and_speakers(spark, tmp_path):
+    rows = [fact(1, cat="LOC"), fact(2, cat="ORG"), fact(3, cat="PER", speaker=None), fact(4, cat=None, entity=None), fact(5, country="TUR", cat="MISC", speech="s2")]
+    again = [(6, *rows[0][1:]), (7, *rows[0][1:8], "Germany", *rows[0][9:])]
+    folder = folder_of(spark, tmp_path, facts=(rows + again, FACTS))
+    got = {r["country"]: (r["n_records"], r["n_speeches"]) for r in annotated.e35_nested_results(spark, folder).collect()}
+    assert got == {"GBR": (5, 1), "TUR": (1, 1)}
+
+
+def test_scores_and_anchors_off_the_topic(spark, tmp_path):
+    rows = [fact(1, cur="To Turkey by boat."), fact(2, cur="Refugees in Turkey.", topic="law"), fact(3, cur="Turkey and Oman.", topic=None), fact(4, cur=None, topic=None)]
+    folder = folder_of(spark, tmp_path, facts=(rows, FACTS), country_list=(NAMES, NAMED))
+    scores = {r["fact_id"]: r["concreteness_score"] for r in annotated.h4_lexicon_concreteness(spark, folder).collect()}
+    assert scores == {1: 3.0, 2: 3.0, 3: 2.5, 4: None}
+    found = {r["fact_id"]: r["event_anchors"] for r in annotated.i2_anchors(spark, folder).collect()}
+    assert found == {1: "Turkey", 2: "Refugees, Turkey", 3: "Turkey, Oman", 4: ""}
