@@ -182,12 +182,33 @@ EUROPE = """
 ALB AND AUT BEL BGR BIH BLR CHE CYP CZE DEU DNK ESP EST FIN FRA GBR GRC HRV HUN IRL ISL ITA LIE LTU LUX LVA MCO MDA MKD MLT MNE NLD NOR POL PRT
 ROU RUS SMR SRB SVK SVN SWE UKR VAT XKX
 """.split()
+#: Other names of a target, by which the annotated track merges its mentions.
 ALIASES = {
-    "Allemagne": "Germany", "Italie": "Italy", "Espagne": "Spain", "Royaume-Uni": "United Kingdom", "Britain": "United Kingdom",
-    "England": "United Kingdom", "Hongrie": "Hungary", "Pologne": "Poland", "Belgique": "Belgium", "Pays-Bas": "Netherlands",
-    "Holland": "Netherlands", "Grèce": "Greece", "Turquie": "Turkey", "Algérie": "Algeria", "Syrie": "Syria", "Soudan": "Sudan",
-    "États-Unis": "United States", "U.S.": "United States", "US": "United States", "America": "United States", "Bosnia": "Bosnia and Herzegovina",
-    "Macedonia": "North Macedonia", "Congo": "Democratic Republic of the Congo", "EU": "European Union",
+    "Allemagne": "Germany", "Deutschland": "Germany", "Federal Republic of Germany": "Germany", "German": "Germany", "Italie": "Italy",
+    "Italia": "Italy", "Italian": "Italy", "Espagne": "Spain", "España": "Spain", "Spanish": "Spain", "Royaume-Uni": "United Kingdom",
+    "Grande-Bretagne": "United Kingdom", "UK": "United Kingdom", "Britain": "United Kingdom", "British": "United Kingdom",
+    "Great Britain": "United Kingdom", "England": "United Kingdom", "Hongrie": "Hungary", "Hungarian": "Hungary", "Pologne": "Poland",
+    "Belgique": "Belgium", "Pays-Bas": "Netherlands", "Holland": "Netherlands", "Grèce": "Greece", "Turquie": "Turkey", "Maroc": "Morocco",
+    "Algérie": "Algeria", "Tunisie": "Tunisia", "Libye": "Libya", "Syrie": "Syria", "Soudan": "Sudan", "Sénégal": "Senegal",
+    "États-Unis": "United States", "USA": "United States", "U.S.": "United States", "U.S.A.": "United States", "America": "United States",
+    "Guyana": "French Guiana", "Mahorais": "Mayotte", "Anjouan": "Comoros", "EU": "European Union", "US": "United States",
+    "Republic of Armenia": "Armenia", "Côte d'Ivoire": "Ivory Coast", "Cote d'Ivoire": "Ivory Coast", "Futuna": "Wallis and Futuna",
+    "Mamoudzou": "Mayotte", "Republic of Turkey": "Turkey", "Turkish Republic": "Turkey", "Türkiye": "Turkey", "Turkiye": "Turkey",
+    "İstanbul": "Istanbul", "State of Palestine": "Palestine", "Russian Federation": "Russia", "Bosnia": "Bosnia and Herzegovina",
+    "Macedonia": "North Macedonia", "Cape Verde": "Cabo Verde", "Congo": "Democratic Republic of the Congo",
+}
+#: Names that stand for a country in the resolver only: governments, capitals, islands.
+RESOLVER_ALIASES = ALIASES | {
+    "German government": "Germany", "German Bundestag": "Germany", "Bundestag": "Germany", "Berlin": "Germany", "Deutsch": "Germany",
+    "British government": "United Kingdom", "British Parliament": "United Kingdom", "Westminster": "United Kingdom", "London": "United Kingdom",
+    "Scotland": "United Kingdom", "Wales": "United Kingdom", "Northern Ireland": "United Kingdom", "United States of America": "United States",
+    "Washington": "United States", "White House": "United States", "Italian government": "Italy", "Rome": "Italy", "Lampedusa": "Italy",
+    "Sicily": "Italy", "Trieste": "Italy", "Madrid": "Spain", "Ceuta": "Spain", "Melilla": "Spain", "Hellenic Republic": "Greece",
+    "Greek government": "Greece", "Athens": "Greece", "Lesbos": "Greece", "Lesvos": "Greece", "Moria": "Greece", "Samos": "Greece",
+    "Turkish government": "Turkey", "Ankara": "Turkey", "Istanbul": "Turkey", "Brussels": "Belgium", "Dutch government": "Netherlands",
+    "The Hague": "Netherlands", "Warsaw": "Poland", "Budapest": "Hungary", "Orban": "Hungary", "Orbán": "Hungary", "Minsk": "Belarus",
+    "Kyiv": "Ukraine", "Kiev": "Ukraine", "Rabat": "Morocco", "Algiers": "Algeria", "Tunis": "Tunisia", "Tripoli": "Libya", "Damascus": "Syria",
+    "Khartoum": "Sudan",
 }
 DOMESTIC = {
     "FRA": ["France", "French Republic", "French", "Republic of France"],
@@ -208,17 +229,45 @@ SHOCKS = {
 #: place, aliases, latitude, longitude, kind
 PLACES = [
     ("Calais", ["Calais", "Calaisis"], 50.9513, 1.8587, "city/border area"),
+    ("Grande-Synthe", ["Grande-Synthe", "Grande Synthe"], 51.0156, 2.3021, "camp/city"),
+    ("Dunkirk", ["Dunkirk", "Dunkerque"], 51.0344, 2.3768, "port city"),
+    ("Sangatte", ["Sangatte"], 50.9458, 1.7536, "border area"),
+    ("Ouistreham", ["Ouistreham"], 49.2776, -0.2597, "port city"),
+    ("Paris", ["Paris", "La Chapelle", "Porte de la Chapelle", "Aubervilliers"], 48.8566, 2.3522, "city"),
+    ("Menton", ["Menton"], 43.7745, 7.4975, "border city"),
+    ("Briancon", ["Briançon", "Briancon"], 44.8994, 6.6432, "alpine border city"),
+    ("Col de l'Echelle", ["Col de l'Échelle", "Col de l'Echelle"], 45.0325, 6.6814, "mountain pass"),
+    ("Roya Valley", ["Roya Valley", "Roya"], 43.9387, 7.5144, "border valley"),
     ("Ventimiglia", ["Ventimiglia", "Vintimille"], 43.7912, 7.6076, "border city"),
     ("Lampedusa", ["Lampedusa"], 35.5010, 12.6091, "island"),
+    ("Sicily", ["Sicily", "Sicile"], 37.5999, 14.0154, "region/island"),
+    ("Rome", ["Rome"], 41.9028, 12.4964, "city"),
+    ("Samos", ["Samos", "Samos Island"], 37.7547, 26.9778, "island"),
     ("Lesbos", ["Lesbos", "Lesvos"], 39.1641, 26.3722, "island"),
     ("Moria", ["Moria", "Moria camp"], 39.1322, 26.5162, "camp"),
+    ("Crete", ["Crete", "Crète"], 35.2401, 24.8093, "island"),
     ("Aegean Sea", ["Aegean Sea", "Aegean"], 38.5, 25.0, "sea route"),
     ("Evros", ["Evros"], 41.2444, 26.1359, "border region"),
+    ("Idomeni", ["Idomeni"], 41.1231, 22.5181, "border village"),
     ("English Channel", ["English Channel", "the Channel", "Channel"], 50.35, 0.0, "sea route"),
+    ("Dover", ["Dover"], 51.1279, 1.3134, "port city"),
+    ("Kent", ["Kent"], 51.2787, 0.5217, "region"),
+    ("London", ["London"], 51.5072, -0.1276, "city"),
+    ("Sandhurst", ["Sandhurst"], 51.3469, -0.8038, "agreement place"),
+    ("Ceuta", ["Ceuta"], 35.8894, -5.3213, "border enclave"),
+    ("Melilla", ["Melilla"], 35.2923, -2.9381, "border enclave"),
+    ("Canary Islands", ["Canary Islands", "Canaries"], 28.2916, -16.6291, "islands"),
+    ("Belarus-Poland border", ["Belarus-Poland border", "Polish-Belarusian border", "border with Belarus"], 52.1, 23.7, "border"),
+    ("Brest", ["Brest"], 52.0976, 23.7341, "border city"),
     ("Mediterranean Sea", ["Mediterranean Sea", "Mediterranean", "Central Mediterranean"], 36.0, 15.0, "sea route"),
     ("Balkan route", ["Balkan route", "Balkans", "Balkan"], 44.0, 20.5, "migration route"),
-    ("Berlin", ["Berlin"], 52.52, 13.405, "city"),
+    ("Dublin", ["Dublin"], 53.3498, -6.2603, "city/policy reference"),
     ("Brussels", ["Brussels", "Bruxelles"], 50.8503, 4.3517, "EU city"),
+    ("Berlin", ["Berlin"], 52.52, 13.405, "city"),
+    ("Munich", ["Munich", "München"], 48.1351, 11.5820, "city"),
+    ("Vienna", ["Vienna", "Vienne"], 48.2082, 16.3738, "city"),
+    ("Vilnius", ["Vilnius"], 54.6872, 25.2797, "city"),
+    ("Kyiv", ["Kyiv", "Kiev"], 50.4501, 30.5234, "city"),
 ]
 # ---- End of the fixed values.
 

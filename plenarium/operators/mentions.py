@@ -81,7 +81,7 @@ def display_label(c: Column, kind: Column) -> Column:
     return F.concat(c, suffix)
 
 
-def resolver(names: DataFrame, aliases: dict[str, str] = vocab.ALIASES, compat: bool = False) -> DataFrame:
+def resolver(names: DataFrame, aliases: dict[str, str] = vocab.RESOLVER_ALIASES, compat: bool = False) -> DataFrame:
     """``alias_normal``, ``target_name``, ``target_iso3``, ``confidence``, ``origin`` from a table of accepted names
     (``iso3``, ``country_name``, ``name_kind``): short names 1.0, other names 0.96, aliases of them 0.94. Of equal
     normal forms of one country the surest is kept; aliases without a country are left out."""

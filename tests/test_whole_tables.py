@@ -6,6 +6,7 @@ import re
 import pytest
 from plenarium.functions import vocab
 from plenarium.operators import annotate as A
+from plenarium.operators import mentions as M
 from plenarium.plans import annotated, dyads, reports
 from plenarium.sources.files import FACTS
 
@@ -92,3 +93,14 @@ def test_scores_and_anchors_off_the_topic(spark, tmp_path):
     assert scores == {1: 3.0, 2: 3.0, 3: 2.5, 4: None}
     found = {r["fact_id"]: r["event_anchors"] for r in annotated.i2_anchors(spark, folder).collect()}
     assert found == {1: "Turkey", 2: "Refugees, Turkey", 3: "Turkey, Oman", 4: ""}
+
+
+def test_all_places_and_aliases(spark):
+    texts = ["From Dublin to Paris.", "La Chapelle", "Col de l'Échelle, Kiev", "Parisian", "Calais"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, x string")
+    assert sorted((r["id"], r["place"]) for r in A.locate(df, "id", "x").collect()) == [(0, "Dublin"), (0, "Paris"), (1, "Paris"), (2, "Col de l'Echelle"), (2, "Kyiv"), (4, "Calais")]
+    assert len(vocab.PLACES) == 40
+    names = spark.createDataFrame([("DEU", "Germany", "short"), ("TUR", "Turkey", "short"), ("CIV", "Ivory Coast", "short"), ("GRC", "Greece", "short")], NAMED)
+    facts = spark.createDataFrame([fact(i, n) for i, n in enumerate(["German", "Turkiye", "Côte d'Ivoire", "Ivory Coast", "Athens"])], FACTS)
+    assert sorted((r["fact_id"], r["target_iso3"]) for r in A.annotated_mentions(facts, names).collect()) == [(0, "DEU"), (1, "TUR"), (2, "CIV"), (3, "CIV")]
+    assert sorted((r["fact_id"], r["target_iso3"]) for r in M.resolve(facts, names).collect()) == [(0, "DEU"), (1, "TUR"), (2, "CIV"), (3, "CIV"), (4, "GRC")]
