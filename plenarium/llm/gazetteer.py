@@ -95,7 +95,7 @@ class Trie:
         ``word``; a state of which no cell is within ``limit`` is dead, and the subtree is left out."""
         found: dict[str, tuple[int, int]] = {}
         n = len(word)
-        limit = reach(n + 2)
+        limit = reach(n + 3)
         # an edit is at most `limit` places off the diagonal, so only that band of the row is kept exact
         stack = [(self.root, "", list(range(n + 1)), None, 0)]
         while stack:

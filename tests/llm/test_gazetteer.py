@@ -38,6 +38,13 @@ def test_search_finds_all_within_reach():
         assert {i: d for i, (d, _) in TRIE.search(word).items()} == expected, word
 
 
+def test_eleven_letters_of_fourteen():
+    assert G.reach(13) == 2 and G.reach(14) == 3
+    for word in ["olomonislnd", "solomonilan", "slmonislnds"]:
+        assert len(word) == 11 and distance(word, "solomonislands") == 3
+        assert G.Trie([("SLB", "Solomon Islands")]).search(word) == {"SLB": (3, -14)}
+
+
 def test_rows(spark):
     ref = spark.createDataFrame(NAMES, "iso3 string, country_name string")
     rows = [(1, "Ukriane", "x"), (2, "Ukraine", "x"), (3, None, "x"), (4, "", "x"), (5, "Ukriane", "x"), (5, "Ukriane", "x"), (None, "Varano", "x"), (7, "Ukr​aine", "x"), (8, "Ｕkraime", "x"), (9, "z" * 50_000, "x")]
