@@ -7,7 +7,7 @@ alone are normalized and spliced back between the untouched stretches. Afterward
 scripts is written in the one script that most of its letters have.
 
 The classes of characters come from the Unicode data of the interpreter by the rules in ``_tables``; only the
-look-alike letters are listed.
+look-alike letters are listed. A letter that is listed is no compatibility form: the word decides what it stands for.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ def _tables() -> tuple[regex.Pattern, dict[int, str]]:
     """The pattern of a segment, and the replacement of each character that has one."""
     replace: dict[int, str] = {}
     unstable: list[int] = []
+    accented: list[tuple[int, str]] = []
     for code in range(0x80, 0x2FA20):
         c = chr(code)
         kind = unicodedata.category(c)
@@ -52,10 +53,19 @@ def _tables() -> tuple[regex.Pattern, dict[int, str]]:
             replace[code] = ""
         elif c in HYPHENS:
             replace[code] = "-"
-        elif form.startswith(("<wide>", "<narrow>", "<font>", "<noBreak>")) or form.startswith("<compat>") and kind[0] == "L":
+        elif form.startswith(("<wide>", "<narrow>", "<font>", "<noBreak>")) or form.startswith("<compat>") and kind[0] == "L" and c not in GREEK:
             replace[code] = unicodedata.normalize("NFKC", c)
         if code in replace or unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c) or 0x1161 <= code <= 0x11FF:
             unstable.append(code)
+        # quick check "maybe": the later part of a composition may join what stands before it, even if it is no accent
+        if form and form[0] != "<" and " " in form and unicodedata.normalize("NFC", unicodedata.normalize("NFD", c)) == c:
+            unstable.append(int(form.split()[-1], 16))
+        parts = unicodedata.normalize("NFD", c)
+        if code not in replace and len(parts) > 1 and any(ord(x) in replace for x in parts):  # an accented form of such a character
+            accented.append((code, parts))
+    for code, parts in accented:
+        replace[code] = parts.translate(replace)
+        unstable.append(code)
     for code in (*range(0x20), *range(0x7F, 0xA0)):
         replace[code] = " " if chr(code) in "\t\n\v\f\r\x85" else ""
         unstable.append(code)

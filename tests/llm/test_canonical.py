@@ -17,6 +17,11 @@ CASES = [
     ("Ελλάδa", "Ελλάδα"),
     ("Wor＇s", "Wor's"),
     ("a\tb\nc", "a b c"),
+    ("\u0995\u09c7\u09be", "\u0995\u09cb"),
+    ("\u0b95\u0bc6\u0bbe", "\u0b95\u0bca"),
+    ("\u1025\u102e", "\u1026"),
+    ("\u1100\u1161\u11a8", "\uac01"),
+    ("ϲat", "cat"),
 ]
 SAME = ["Україна", "Κύπρος", "Северна Македонија", "Việt Nam", "Azərbaycan", "Zanbarés", "« Malta »", "a  b ", "x…", "Türkiye – Syria", ""]
 
@@ -40,6 +45,21 @@ def test_idempotent_composed_and_visible(text):
     assert not any(unicodedata.category(c) in ("Cf", "Cc") for c in form if ord(c) < 0xE0000)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from("abceоаесАΑοϲϳςµμ\u0301\u200d\u09c7\u09be\u0995\u1025\u102e\u1100\u1161\u11a8ﾞｶカ１- "), max_size=12))
+def test_idempotent_where_letters_meet(text):
+    form = canonical_text(text)
+    assert canonical_text(form) == form
+    assert unicodedata.is_normalized("NFC", form)
+
+
+def test_every_composition_is_composed():
+    for code in range(0x80, 0x2FA20):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == chr(code) and unicodedata.category(chr(code))[0] in "LM":
+            assert canonical_text(parts) == canonical_text(chr(code)), hex(code)
+
+
 def test_over_rows(spark):
     rows = [(1, "Ｕｋ", "x"), (2, None, "x"), (3, "", "x"), (4, "plain", "x"), (5, "Ｕｋ", "x"), (5, "Ｕｋ", "x"), (None, "é" + "é" * 50_000, "x")]
     df = spark.createDataFrame(rows, "fact_id long, entity string, entity_clean string")
