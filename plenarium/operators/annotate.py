@@ -15,6 +15,8 @@ from plenarium.operators import mentions as M
 from plenarium.plans.lineage import spread
 
 PROPER = r"\b[A-Z][A-Za-zÀ-ÿ'’-]{2,}(?:\s+[A-Z][A-Za-zÀ-ÿ'’-]{2,}){0,3}\b"
+#: A letter, mark, digit or low line of any script: what may not stand beside a whole word.
+WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
 PLACE = "([A-Z][A-Za-zÀ-ÿ' -]{2,40})"
 
 
@@ -190,7 +192,7 @@ def named_countries(window: Column, names: list[str]) -> Column:
     """Accepted names found in a text as whole words of any script, longest first; a list with repeats."""
     import re
 
-    pattern = r"(?<![\p{L}\p{M}\p{N}_])(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + r")(?![\p{L}\p{M}\p{N}_])"
+    pattern = rf"(?<!{WORD})(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + rf")(?!{WORD})"
     return F.regexp_extract_all(F.coalesce(window, F.lit("")), F.lit(pattern), F.lit(0))
 
 
@@ -233,6 +235,6 @@ def locate(df: DataFrame, key: str, text: str, places: list[tuple] = vocab.PLACE
 
     tests = []
     for name, names, lat, lon, kind in places:
-        pattern = r"(?<!\w)(?:" + "|".join(re.escape(a) for a in sorted(names, key=lambda a: (-len(a), a))) + r")(?!\w)"
+        pattern = rf"(?<!{WORD})(?:" + "|".join(re.escape(a) for a in sorted(names, key=lambda a: (-len(a), a))) + rf")(?!{WORD})"
         tests.append(F.when(F.col(text).rlike(pattern), F.struct(F.lit(name).alias("place"), F.lit(lat).alias("latitude"), F.lit(lon).alias("longitude"), F.lit(kind).alias("kind"))))
     return df.select(key, F.explode(F.filter(F.array(*tests), lambda p: p.isNotNull())).alias("p")).select(key, "p.*")

@@ -141,22 +141,47 @@ def zero_filled(counts: DataFrame, row: str, column: str, value: str) -> DataFra
     return grid.join(counts.select(row, column, value), [row, column], "left").fillna(0, [value])
 
 
-def best_valid(mentions: DataFrame, affiliations: DataFrame, key: str, person: str, date: str, start: str, end: str, value: str) -> DataFrame:
-    """Each mention with the affiliation valid at its date (open ends are valid); of several the one that began last,
-    one with an open start first. Without a valid one the value is null. One row per ``key``."""
-    joined = mentions.join(affiliations, person, "left")
+def valid_at(date: str, start: str, end: str, open_start: bool = True) -> Column:
+    """Whether an interval holds a date: both ends belong to it; an end that is null is open, a start only if asked for."""
     d, s, e = F.col(date), F.col(start), F.col(end)
-    valid = F.coalesce((s.isNull() | (s <= d)) & (e.isNull() | (d <= e)), F.lit(False)) & F.col(value).isNotNull()
-    best = Window.partitionBy(key).orderBy(F.desc("__valid"), F.desc_nulls_first(start), value)
-    ranked = joined.withColumn("__valid", valid).withColumn("__n", F.row_number().over(best)).where("__n = 1")
-    return ranked.select(key, F.when(F.col("__valid"), F.col(value)).alias(value))
+    begun = s.isNull() | (s <= d) if open_start else s <= d
+    return begun & (e.isNull() | (d <= e))
 
 
-def all_valid(mentions: DataFrame, affiliations: DataFrame, person: str, date: str, start: str, end: str) -> DataFrame:
-    """Every mention with every affiliation valid at its date (start given, end given or open); the equality on the
-    person makes it an ordinary join with a condition."""
-    ok = (F.col(start) <= F.col(date)) & (F.col(end).isNull() | (F.col(date) <= F.col(end)))
-    return mentions.join(affiliations, person).where(ok).distinct()
+def best_valid(mentions: DataFrame, affiliations: DataFrame, person: list[str], date: str, start: str, end: str, values: list[str]) -> DataFrame:
+    """Each row of ``mentions`` with the ``values`` of the affiliation of its person that is valid at its date (open ends
+    are valid; the first of ``values`` is given): of several the one that began last, one with an open start first, then
+    the lowest values. Without a valid one they are null. One row per row, repeated ones too.
+
+    Validity depends on person and date alone, so it is found for the different days of a person, with the interval as a
+    condition inside the join and partial minima after it; mentions, however many a person has on a day, only look it up."""
+    held = affiliations.where(F.col(values[0]).isNotNull()).select(*person, start, end, *values)
+    days = mentions.select(*person, date).dropna().distinct()
+    later = -F.unix_micros(F.col(start).cast("timestamp"))  # null, the lowest, for an open start
+    best = F.min(F.struct(later.alias("later"), *values)).alias("best")
+    found = days.join(held, person).where(valid_at(date, start, end)).groupBy(*person, date).agg(best)
+    return mentions.join(found, [*person, date], "left").withColumns({v: F.col(f"best.{v}") for v in values}).drop("best")
+
+
+def all_valid(mentions: DataFrame, affiliations: DataFrame, person: list[str], date: str, start: str, end: str) -> DataFrame:
+    """Every mention with every affiliation valid at its date (start given, end given or open), different rows once; the
+    equality on the person makes it an ordinary join with a condition."""
+    return mentions.join(affiliations, person).where(valid_at(date, start, end, open_start=False)).distinct()
+
+
+def group_memberships(affiliations: DataFrame, orgs: DataFrame, role: str = "member", org_role: str = "parliamentaryGroup") -> DataFrame:
+    """Affiliations in one role with the organisation (of one kind) they are with; dates as dates, null where the text
+    is no whole date."""
+    groups = orgs.where(F.col("org_role") == org_role).select("org_id", F.col("org_name").alias("party_group"))
+    dates = {c: T.lenient_date(F.col(c)) for c in ("start_date", "end_date")}
+    return affiliations.where(F.col("role") == role).withColumns(dates).join(groups, "org_id")
+
+
+def member_metadata(people: DataFrame, affiliations: DataFrame, orgs: DataFrame, after: str, before: str) -> DataFrame:
+    """People with their affiliations that began between two dates (compared as text, whatever their precision) and the
+    organisations."""
+    began = affiliations.where(M.in_window(F.col("start_date"), after, before))
+    return people.join(began, ["speaker_id", "country"]).join(orgs.drop("country"), "org_id")
 
 
 def topic_resolved(facts: DataFrame, names: DataFrame) -> DataFrame:

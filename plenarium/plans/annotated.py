@@ -316,8 +316,8 @@ ORACLE = {
     "c_annotated_labels": _W + f" SELECT {_LABELS} FROM mentions",
     "h6_concreteness": _W + " SELECT fact_id, n_tokens, concreteness_score, concreteness_band, concrete_words, abstract_words FROM mentions",
     "h4_lexicon_concreteness": f"""WITH lex AS (SELECT DISTINCT w, len(w) / 2.0 AS score FROM (SELECT unnest({S.TOKENS.format("country_name")}) AS w FROM country_list)),
-        t AS (SELECT fact_id, unnest({S.TOKENS.format(S.WINDOW)}) AS w FROM facts WHERE debate_topic = '{vocab.TOPIC}'), s AS (SELECT fact_id, round(avg(score), 3) AS concreteness_score FROM t JOIN lex USING (w) GROUP BY 1)
-        SELECT fact_id, concreteness_score FROM facts LEFT JOIN s USING (fact_id) WHERE debate_topic = '{vocab.TOPIC}'""",
+        t AS (SELECT fact_id, unnest({S.TOKENS.format(S.WINDOW)}) AS w FROM facts), s AS (SELECT fact_id, round(avg(score), 3) AS concreteness_score FROM t JOIN lex USING (w) GROUP BY 1)
+        SELECT fact_id, concreteness_score FROM facts LEFT JOIN s USING (fact_id)""",
     "c15_top_or_other": """WITH top AS (SELECT entity_content FROM facts WHERE entity_content IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)
         SELECT CASE WHEN entity_content IN (SELECT entity_content FROM top) THEN entity_content ELSE 'other' END AS entity_content, count(*) AS n FROM facts GROUP BY 1""",
     "e1_topics": "SELECT debate_topic, count(*) AS n FROM facts GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 20",
@@ -336,7 +336,7 @@ ORACLE = {
     "e22_first_excerpt": _W + ", c AS (SELECT *, " + _COMPACT + " AS short FROM mentions) SELECT entity_name, count(*) AS n, arg_min(" + _EXCERPT.format("short", 120) + ", {'d': session_date, 'f': fact_id}) AS first_excerpt FROM c GROUP BY 1",
     "e24_source_summary": _W + ", g AS (SELECT country, count(*) AS n_mentions, count(DISTINCT speech_id) AS n_speeches, count(DISTINCT entity_name) AS n_targets, avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) / 10000 AS mean_sentiment, avg(cast(round(concreteness_score * 1000) AS bigint)) / 1000 AS mean_concreteness FROM mentions GROUP BY 1) SELECT g.*, " + _DOM(LABELS) + " FROM g" + _MODE("country", LABELS),
     "e34_crosstab": _W + " SELECT policy_agency, " + ", ".join(f"count(*) FILTER (argument_scheme = '{x}') AS {x}" for x in ("conceptual_definition", "argument_from_consequences", "practical_reasoning", "other")) + " FROM mentions GROUP BY 1",
-    "e35_nested_results": "SELECT country, count(*) AS n_records, count(DISTINCT speech_id) AS n_speeches FROM (SELECT DISTINCT country, speech_id, sentence_id, speaker_id FROM facts WHERE entity_category = 'ORG' AND speaker_id IS NOT NULL) GROUP BY 1",
+    "e35_nested_results": "SELECT country, count(*) AS n_records, count(DISTINCT speech_id) AS n_speeches FROM (SELECT DISTINCT entity_category, entity_content, country, speech_id, sentence_id, speaker_id FROM facts) GROUP BY 1",
     "e36_value_counts": "SELECT country, count(*) AS n_values, string_agg(debate_topic || ':' || n, ',' ORDER BY n DESC, debate_topic) AS value_counts FROM (SELECT country, debate_topic, count(*) AS n FROM facts WHERE debate_topic IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
     "f4_counts": rf"SELECT fact_id, len(regexp_extract_all(w, '\b\d+([.,]\d+)?\b')) AS n_numbers, len(regexp_extract_all(w, '\b(19|20)\d{{2}}\b')) AS n_years, len(string_split(w, ' ')) AS n_tokens FROM (SELECT fact_id, {S.THREE} AS w FROM facts)",
     "f6_excerpt": "SELECT fact_id, " + _EXCERPT.format("short", 100) + " AS excerpt FROM (SELECT fact_id, " + _COMPACT + " AS short FROM (SELECT fact_id, " + S.WINDOW + " AS context_window FROM facts))",
@@ -344,7 +344,7 @@ ORACLE = {
     "i3_concrete_events": _W + r", c AS (SELECT *, " + _COMPACT + r" AS short FROM mentions WHERE concreteness_score >= 3.3) SELECT fact_id, concreteness_score, len(regexp_extract_all(context_window, '\b(19|20)\d{2}\b')) AS n_years, " + _EXCERPT.format("short", 360) + " AS excerpt FROM c",
     "d14_places": " UNION ALL ".join(
         f"SELECT fact_id, {S.quoted(n)} AS place, cast({lat} AS double) AS latitude, cast({lon} AS double) AS longitude FROM facts WHERE "
-        + "regexp_matches(concat_ws(' | ', entity_content, sentence_content_current), " + S.quoted(r"(^|[^A-Za-z0-9_])(" + "|".join(names) + r")([^A-Za-z0-9_]|$)") + ")"
+        + "regexp_matches(concat_ws(' | ', entity_content, sentence_content_current), " + S.quoted(rf"(^|{S.EDGE})(" + "|".join(names) + rf")({S.EDGE}|$)") + ")"
         for n, names, lat, lon, _ in vocab.PLACES
     ),
     "j3_both_ends": _W + """, r AS (SELECT entity_name, concreteness_score, fact_id FROM mentions WHERE concreteness_score IS NOT NULL)

@@ -189,12 +189,12 @@ def _shipped(spark, folder):
 
 def d8_best_valid(spark, folder):
     """Each line with the latest order of its customer that was placed at most 90 days before (validity as an interval)."""
-    return D.best_valid(_shipped(spark, folder), _spells(spark, folder), "line", "person", "day", "start", "stop", "o_orderkey")
+    return D.best_valid(_shipped(spark, folder), _spells(spark, folder), ["person"], "day", "start", "stop", ["o_orderkey"]).select("line", "o_orderkey")
 
 
 def d9_all_valid(spark, folder):
     """Each line with every order of its customer that was placed at most 90 days before."""
-    return D.all_valid(_shipped(spark, folder), _spells(spark, folder), "person", "day", "start", "stop").select("line", "o_orderkey")
+    return D.all_valid(_shipped(spark, folder), _spells(spark, folder), ["person"], "day", "start", "stop").select("line", "o_orderkey")
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[0] != "_" and n[1:2].isdigit() and callable(f)}
@@ -237,8 +237,8 @@ cols1 AS (SELECT target_iso3 FROM kept GROUP BY 1 HAVING sum(n) >= 10 ORDER BY s
 res AS (SELECT *, sum(n) OVER (PARTITION BY country) * sum(n) OVER (PARTITION BY target_iso3) / sum(n) OVER () AS expected FROM cont),
 resid AS (SELECT *, (n - expected) / sqrt(expected) AS residual FROM res)"""
 _SPELLS = """
-WITH ev AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_partkey % 1000 AS person, cast(l_shipdate AS date) AS day FROM lineitem),
-sp AS (SELECT o_custkey AS person, cast(o_orderdate AS date) AS start, cast(o_orderdate AS date) + 90 AS stop, o_orderkey FROM orders WHERE o_custkey < 1000)"""
+WITH ev AS (SELECT l_orderkey * 10 + l_linenumber AS line, o_custkey AS person, cast(l_shipdate AS date) AS day FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey),
+sp AS (SELECT o_custkey AS person, cast(o_orderdate AS date) AS start, cast(o_orderdate AS date) + 90 AS stop, o_orderkey FROM orders)"""
 
 ORACLE = {
     "d0_resolver": _R + " SELECT * FROM resolver",
@@ -284,7 +284,7 @@ ORACLE = {
     "b8_shock_days": _R + f""", d(shock, day) AS (VALUES {", ".join(f"('{k}', date '{v}')" for k, v in vocab.SHOCKS.items())})
         SELECT shock, CASE WHEN session_date < day THEN 'pre' ELSE 'post' END AS period, target_iso3, count(*) AS n FROM resolved JOIN d ON session_date BETWEEN day - 90 AND day + 90 GROUP BY 1, 2, 3""",
     "f8_speaker_join": "SELECT gender, count(*) AS n_mentions FROM facts f JOIN people p ON upper(regexp_replace(f.speaker_id, '[^A-Za-z0-9]', '', 'g')) = regexp_replace(p.speaker_id, '[^A-Za-z0-9]', '', 'g') GROUP BY 1",
-    "d8_best_valid": _SPELLS + """, j AS (SELECT line, o_orderkey, start, coalesce(start <= day AND day <= stop, false) AS ok FROM ev LEFT JOIN sp USING (person))
-        SELECT line, CASE WHEN ok THEN o_orderkey END AS o_orderkey FROM j QUALIFY row_number() OVER (PARTITION BY line ORDER BY ok DESC, start DESC NULLS FIRST, o_orderkey) = 1""",
-    "d9_all_valid": _SPELLS + " SELECT DISTINCT line, o_orderkey FROM ev JOIN sp USING (person) WHERE start <= day AND day <= stop",
+    "d8_best_valid": _SPELLS + """, j AS (SELECT DISTINCT ev.person, day, o_orderkey, start FROM ev JOIN sp ON ev.person = sp.person AND start <= day AND day <= stop),
+        b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY person, day ORDER BY start DESC, o_orderkey) = 1) SELECT line, o_orderkey FROM ev LEFT JOIN b USING (person, day)""",
+    "d9_all_valid": _SPELLS + " SELECT line, o_orderkey FROM (SELECT DISTINCT * FROM ev JOIN sp USING (person) WHERE start <= day AND day <= stop)",
 }

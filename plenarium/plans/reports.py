@@ -253,7 +253,7 @@ QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f
 _AVG = "avg(cast(round(concreteness_score * 1000) AS bigint)) / 1000"
 _SHORT = r"trim(regexp_replace(replace(context_window, '||', ' '), '\s+', ' ', 'g'))"
 _PLACE = r"[A-Z][A-Za-zÀ-ÿ'' -]{2,40}"
-_FLOW = lambda words: "coalesce(" + ", ".join(rf"nullif(trim(regexp_extract(context_window, '\b{w}\s+({_PLACE})', 1), ' .,;:'), '')" for w in words) + ", '')"
+_FLOW = lambda words: "coalesce(" + ", ".join(rf"nullif(trim(regexp_extract(context_window, '(?:^|{S.EDGE}){w}[\s\p{{Z}}]+({_PLACE})', 1), ' .,;:'), '')" for w in words) + ", '')"
 _NAMED = "|".join(a for _, names, *_ in vocab.PLACES for a in names)
 
 ORACLE = {
@@ -267,7 +267,7 @@ ORACLE = {
     "c16_fact_score": _W + r" SELECT fact_id, CASE WHEN session_date IS NOT NULL OR len(regexp_extract_all(context_window, '\b(19|20)\d{2}\b')) > 0 THEN 5.0 ELSE concreteness_score END AS fact_score FROM mentions",
     "c19_display_label": _W + " SELECT entity_name, entity_name || CASE geo_class WHEN 'european_union' THEN ' (EU)' WHEN 'territory_region' THEN ' (overseas)' ELSE '' END AS label, count(*) AS n FROM mentions GROUP BY 1, 2",
     "d11_top_semi": _W + ", top AS (SELECT entity_name FROM mentions GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) SELECT entity_name, source_year, count(*) AS n FROM mentions WHERE entity_name IN (SELECT entity_name FROM top) GROUP BY 1, 2",
-    "d12_not_located": _W + f" SELECT fact_id FROM mentions WHERE concreteness_score >= 3.3 AND NOT coalesce(regexp_matches(context_window, '(^|[^A-Za-z0-9_])({_NAMED})([^A-Za-z0-9_]|$)'), false)",
+    "d12_not_located": _W + f" SELECT fact_id FROM mentions WHERE concreteness_score >= 3.3 AND NOT coalesce(regexp_matches(context_window, {S.quoted(rf'(^|{S.EDGE})({_NAMED})({S.EDGE}|$)')}), false)",
     "e17_visible_targets": _W + f", v AS (SELECT * FROM mentions WHERE concreteness_score >= 3.3), g AS (SELECT entity_name, count(*) AS n, round({_AVG}, 3) AS mean_score FROM v GROUP BY 1) SELECT g.*, " + _DOM(["ref_type", "narrative_frame"]) + " FROM g" + _MODE("entity_name", ["ref_type", "narrative_frame"], "v"),
     "e20_target_year": _W + f", v AS (SELECT * FROM mentions WHERE concreteness_score IS NOT NULL), g AS (SELECT entity_name, source_year, count(*) AS n, round({_AVG}, 3) AS mean_score, round(median(concreteness_score), 4) AS median_score FROM v GROUP BY 1, 2) SELECT g.*, " + _DOM(["migrant_cohort", "policy_measure", "policy_agency"]) + " FROM g" + _MODE("entity_name, source_year", ["migrant_cohort", "policy_measure", "policy_agency"], "v"),
     "e23_year_summary": _W + f" SELECT source_year, count(*) AS n, round({_AVG}, 3) AS mean_score, arg_min(policy_measure, {{'d': session_date, 'f': fact_id}}) FILTER (policy_measure <> 'unspecified') AS first_measure FROM mentions GROUP BY 1",
@@ -277,7 +277,7 @@ ORACLE = {
     "e38_rollup": _W + " SELECT narrative_frame, frame_polarity, argument_scheme, count(*) AS n FROM mentions GROUP BY 1, 2, 3",
     "e39_source_order": _W + " SELECT country, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, country) AS place FROM mentions GROUP BY 1",
     "f5_tokens": f"WITH w AS (SELECT unnest({S.TOKENS.format('sentence_content_current')}) AS word FROM facts) SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, word LIMIT 50",
-    "g10_flows": _W + f" SELECT fact_id, {_FLOW(['from', 'leaving'])} AS flow_source, {_FLOW(['to', 'into', 'towards', 'in'])} AS flow_destination FROM mentions WHERE NOT coalesce(regexp_matches(context_window, '[^ -~]'), false)",
+    "g10_flows": _W + f" SELECT fact_id, {_FLOW(['from', 'leaving'])} AS flow_source, {_FLOW(['to', 'into', 'towards', 'in'])} AS flow_destination FROM mentions",
     "i4_europe_events": _W + f" SELECT fact_id, entity_name, concreteness_score FROM mentions WHERE concreteness_score >= 3.3 AND coalesce(target_iso3 IN {S.within(vocab.EUROPE)} OR entity_name IN {S.within(vocab.UNION)}, false)",
     "j6_leading_scope": _W + ", c AS (SELECT geo_class, entity_name, count(*) AS n FROM mentions GROUP BY 1, 2) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY geo_class ORDER BY n DESC, entity_name) = 1",
     "j7_global_top": _W + " SELECT fact_id, concreteness_score FROM mentions WHERE concreteness_score IS NOT NULL ORDER BY concreteness_score DESC, fact_id LIMIT 25",

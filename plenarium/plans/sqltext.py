@@ -49,6 +49,8 @@ def mode(keys: str, column: str, source: str, name: str) -> str:
     return f"(SELECT {keys}, {column} AS {name} FROM (SELECT {keys}, {column}, count(*) AS n FROM {source} WHERE {column} IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, {column}) = 1)"
 
 
+#: What may not stand beside a whole word: letters, marks, digits and the low line of any script.
+EDGE = r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
 GEO_CLASS = f"CASE WHEN entity_name IN {within(vocab.UNION)} THEN 'european_union' WHEN entity_name IN {within(vocab.TERRITORIES)} THEN 'territory_region' WHEN entity_name IN {within(vocab.REGIONS)} THEN 'analytical_region' ELSE 'foreign' END"
 NAME = "CASE entity_content " + " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in vocab.ALIASES.items()) + " ELSE entity_content END"
 DOMESTIC = " OR ".join(f"(country = {quoted(c)} AND entity_content IN {within(a)})" for c, a in vocab.DOMESTIC.items())
@@ -111,7 +113,7 @@ NORMAL = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{
 #: The dyadic track: mentions resolved to countries, of speeches on the topic.
 RESOLVED = f"""
 short AS (SELECT iso3, min(country_name) AS short_name FROM country_list WHERE name_kind = 'short' GROUP BY 1),
-given(alias, country_name) AS (VALUES {", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in vocab.ALIASES.items())}),
+given(alias, country_name) AS (VALUES {", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in vocab.RESOLVER_ALIASES.items())}),
 names AS (
   SELECT country_name AS alias, country_name, iso3, cast(CASE WHEN name_kind = 'short' THEN 1.0 ELSE 0.96 END AS double) AS confidence, name_kind AS origin FROM country_list
   UNION ALL SELECT alias, country_name, iso3, 0.94, 'alias' FROM given JOIN (SELECT DISTINCT country_name, iso3 FROM country_list) USING (country_name)

@@ -158,9 +158,9 @@ def test_dyads(facts, names):
 def test_validity_joins(spark):
     m = spark.createDataFrame([(1, "p", DAY), (2, "p", dt.date(2000, 1, 1)), (3, "q", DAY), (4, None, DAY)], "id long, person string, day date")
     a = spark.createDataFrame([("p", dt.date(2020, 1, 1), None, "new"), ("p", dt.date(2010, 1, 1), dt.date(2030, 1, 1), "old"), ("p", None, dt.date(1999, 1, 1), "gone"), ("q", None, None, "open"), ("q", DAY, None, "today")], "person string, start date, stop date, org string")
-    best = {r["id"]: r["org"] for r in D.best_valid(m, a, "id", "person", "day", "start", "stop", "org").collect()}
+    best = {r["id"]: r["org"] for r in D.best_valid(m, a, ["person"], "day", "start", "stop", ["org"]).collect()}
     assert best == {1: "new", 2: None, 3: "open", 4: None}
-    assert sorted((r["id"], r["org"]) for r in D.all_valid(m, a, "person", "day", "start", "stop").collect()) == [(1, "new"), (1, "old"), (3, "today")]
+    assert sorted((r["id"], r["org"]) for r in D.all_valid(m, a, ["person"], "day", "start", "stop").collect()) == [(1, "new"), (1, "old"), (3, "today")]
 
 
 def test_profiles(spark):
