@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plenarium.functions import text as T
 from plenarium.functions import vocab
 from plenarium.operators import mentions as M
-from plenarium.plans.lineage import spread
+from plenarium.lineage import spread
 
 PROPER = r"\b[A-Z][A-Za-zÀ-ÿ'’-]{2,}(?:\s+[A-Z][A-Za-zÀ-ÿ'’-]{2,}){0,3}\b"
 #: A letter, mark, digit or low line of any script: what may not stand beside a whole word.

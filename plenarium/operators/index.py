@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenarium.plans.lineage import cut
+from plenarium.lineage import cut
 
 _LOCAL = (1 << 33) - 1
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenarium.functions import text as T
-from plenarium.plans.lineage import cut
+from plenarium.lineage import cut
 
 #: Cells of a table that is decomposed in the driver; larger ones are refused.
 MAX_CELLS = 250_000

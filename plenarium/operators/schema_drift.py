@@ -2,12 +2,11 @@
 
 Method: similarity flooding. Each file's schema is a graph of its fields, their types, nested fields and name parts.
 For every two files that follow each other the pairs of nodes form a second graph, over which match scores spread until
-they settle. The scores select consistent correspondences among fields that went and fields that came; an exact check
-of the values of common records confirms a renaming. Fields are then followed through the files, cast to one type and
-united in one table.
+they settle. The scores select consistent correspondences among the fields that went and those that came (see
+``SELECT``); of these alone, an exact check of the values of common records confirms renamings. Fields are then followed
+through the files, cast to one type and united in one table.
 
-The records stay in Spark throughout. Only schema graphs (fields of the files of one series, no records) are grouped
-into a task.
+The records stay in Spark throughout. Flooding is grouped by file pair: a group holds two schemas, no records.
 """
 
 from __future__ import annotations
@@ -19,13 +18,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenarium.plans.lineage import cut
+from plenarium.lineage import cut
 
 FILE = ["series", "task", "run_no"]
 #: Flooding ends when no score moves by more than this, or after so many rounds.
 SETTLED, ROUNDS = 1e-3, 50
+#: A correspondence is selected if its settled score is at least this share of the best one of either of its fields
+#: among fields that went and came.
+SELECT = 0.5
 #: Share of common records with equal values that makes a renaming.
 EQUAL = 2 / 3
+#: Columns of the united table: fields become columns in the driver, so that their number has to be checked.
+MOST_COLUMNS = 5_000
 
 
 def json_kind(schema: Column) -> Column:
@@ -40,26 +44,39 @@ def json_kind(schema: Column) -> Column:
     )
 
 
-def read_fields(lines: DataFrame) -> DataFrame:
-    """The fields of readable lines: ``series``, ``task``, ``run_no``, ``line_id``, ``record_key``, ``field``, ``kind``
-    (JSON type, null for null), ``value`` (JSON text; numbers in one form).
+def read_objects(lines: DataFrame) -> DataFrame:
+    """The readable lines: ``line_id``, ``series``, ``task``, ``run_no``, ``record_key`` and ``object``, a map from field
+    to value (variant).
 
     A line is readable if a JSON object stands in it, alone or with text around; others give no row. Lines delivered
     twice stay. Lines without series, task or run number belong to no file."""
-    body = F.try_parse_json(F.regexp_extract("body", r"(?s)\{.*\}", 0))
-    objects = lines.select(*FILE, "line_id", "record_key", body.alias("object")).where("object is not null and series is not null and task is not null and run_no is not null and schema_of_variant(object) like 'OBJECT%'")
-    fields = objects.select(*FILE, "line_id", "record_key", F.explode(F.expr("cast(object as map<string, variant>)")).alias("field", "variant"))
+    body = F.col("body")
+    whole = body.startswith("{") & body.endswith("}")
+    value = F.try_parse_json(F.when(whole, body).otherwise(F.regexp_extract(body, r"(?s)\{.*\}", 0)))
+    objects = lines.where("series is not null and task is not null and run_no is not null and body is not null").select("line_id", *FILE, "record_key", value.alias("value"))
+    return objects.select("line_id", *FILE, "record_key", F.expr("try_variant_get(value, '$', 'map<string, variant>')").alias("object")).where("object is not null")
+
+
+def read_fields(lines: DataFrame) -> DataFrame:
+    """A row per field of each readable line, with its value as a ``variant``."""
+    return read_objects(lines).select("line_id", *FILE, "record_key", F.explode("object").alias("field", "variant"))
+
+
+def values(fields: DataFrame) -> DataFrame:
+    """``fields`` with ``value``, the text of the value in which equal values are equal (numbers in one form); null for
+    null."""
     kind = json_kind(F.expr("schema_of_variant(variant)"))
     number = F.expr("try_variant_get(variant, '$', 'double')").cast("string")
-    return fields.select(*FILE, "line_id", "record_key", "field", kind.alias("kind"), F.expr("to_json(variant)").alias("text"), number.alias("number")).select(
-        *FILE, "line_id", "record_key", "field", "kind", F.when(F.col("kind") == "number", F.coalesce("number", "text")).when(F.col("kind").isNotNull(), F.col("text")).alias("value")
-    )
+    text = F.expr("to_json(variant)")
+    return fields.select("line_id", *FILE, "record_key", "field", F.when(kind == "number", F.coalesce(number, text)).when(kind.isNotNull(), text).alias("value"))
 
 
 def schemas(fields: DataFrame) -> DataFrame:
     """A row per file and field: ``kind``, the type of most of its non-null values (null if it has none; the
     alphabetically first of equally frequent ones), and ``nested``, names of nested fields seen."""
-    counts = fields.groupBy(*FILE, "field", "kind").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("kind") == "object", F.array_join(F.expr("json_object_keys(value)"), " "))).alias("nested"))
+    shapes = fields.groupBy(*FILE, "field", F.expr("schema_of_variant(variant)").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    inner = F.array_join(F.regexp_extract_all(F.when(F.col("shape").startswith("OBJECT"), F.col("shape")), F.lit(r"[<,]\s*`?([^`:<>,\s]+)`?:"), 1), " ")
+    counts = shapes.groupBy(*FILE, "field", json_kind(F.col("shape")).alias("kind")).agg(F.sum("n").alias("n"), F.max(inner).alias("nested"))
     best = F.min(F.when(F.col("kind").isNotNull(), F.struct((-F.col("n")).alias("minus"), F.col("kind").alias("kind"))))
     return counts.groupBy(*FILE, "field").agg(best.alias("best"), F.max("nested").alias("nested")).select(*FILE, "field", F.col("best.kind").alias("kind"), F.coalesce("nested", F.lit("")).alias("nested"))
 
@@ -113,49 +130,61 @@ def flood(old: pd.DataFrame, new: pd.DataFrame) -> np.ndarray:
     return field
 
 
+def _selected(score: np.ndarray) -> np.ndarray:
+    """The pairs whose score is near the best of their row or of their column."""
+    near = (score >= SELECT * score.max(1, keepdims=True)) | (score >= SELECT * score.max(0, keepdims=True))
+    return near & (score > 0)
+
+
 def correspondences(schema: DataFrame) -> DataFrame:
-    """For every file and the file with the next lower number present: fields that went and fields that came, paired,
-    with the settled ``score`` (all pairs; the exact check decides which one is a renaming), for each series and task.
+    """For every file and the file with the next lower number present (``before``): the correspondences, by flooding,
+    of fields that went and fields that came, with their settled ``score``.
 
-    One group holds the schemas of one series and task: fields and types, no records."""
+    One group is one pair of files of a series and task: two schemas. Groups are spread over the session's number of
+    shuffle partitions, since they are small in bytes but not in work."""
     order = Window.partitionBy("series", "task").orderBy("run_no")
-    files = schema.select(*FILE).distinct().withColumn("before", F.lag("run_no").over(order))
+    files = schema.select(*FILE).distinct().withColumn("before", F.lag("run_no").over(order)).where("before is not null")
+    new = schema.join(files, FILE).select(*FILE, "before", "field", "kind", "nested", F.lit(True).alias("is_new"))
+    old = schema.withColumnRenamed("run_no", "before").join(files, ["series", "task", "before"]).select(*FILE, "before", "field", "kind", "nested", F.lit(False).alias("is_new"))
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("field")
+        new, old = group[group["is_new"]], group[~group["is_new"]]
+        gone, come = ~old["field"].isin(new["field"]).to_numpy(), ~new["field"].isin(old["field"]).to_numpy()
         out = []
-        files = {n: f.sort_values("field") for n, f in group.groupby("run_no")}
-        for n, new in files.items():
-            before = new["before"].iloc[0]
-            if pd.isna(before):
-                continue
-            old = files[int(before)]
-            gone, come = ~old["field"].isin(new["field"]).to_numpy(), ~new["field"].isin(old["field"]).to_numpy()
-            if not gone.any() or not come.any():
-                continue
-            score = flood(old, new)
-            for i in np.flatnonzero(gone):
-                for j in np.flatnonzero(come):
-                    out.append((new["series"].iloc[0], new["task"].iloc[0], n, int(before), old["field"].iloc[i], new["field"].iloc[j], score[i, j]))
+        if gone.any() and come.any():
+            score = flood(old, new)[np.ix_(gone, come)]
+            was, now = old["field"].to_numpy()[gone], new["field"].to_numpy()[come]
+            first = group.iloc[0]
+            out = [(first["series"], first["task"], first["run_no"], first["before"], was[i], now[j], score[i, j]) for i, j in zip(*np.nonzero(_selected(score)), strict=True)]
         return pd.DataFrame(out, columns=["series", "task", "run_no", "before", "field_old", "field_new", "score"])
 
-    kinds = dict(schema.dtypes)
-    joined = schema.join(files, FILE)
-    return joined.groupBy("series", "task").applyInPandas(work, f"series string, task string, run_no {kinds['run_no']}, before {kinds['run_no']}, field_old string, field_new string, score double")
+    kind = dict(schema.dtypes)["run_no"]
+    parts = int(schema.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = new.unionByName(old).repartition(parts, *FILE)
+    return pairs.groupBy(*FILE).applyInPandas(work, f"series string, task string, run_no {kind}, before {kind}, field_old string, field_new string, score double")
 
 
 def renamings(fields: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose values are equal for at least two thirds of the records with a non-null value in both files.
-
-    Each field takes part in one renaming: pairs are taken by share of equal values, then by flooded score, then by
-    name, as long as both fields are free of a better pair of their own."""
-    once = fields.where("value is not null and record_key is not null").groupBy(*FILE, "record_key", "field").agg(F.min_by("value", "line_id").alias("value"))
+    """Those of ``pairs`` whose values are equal for at least two thirds of the records with a non-null value in both
+    files.
+
+    Each field takes part in one renaming of a file: pairs are taken by share of equal values, then by flooded score,
+    then by name, as long as both fields are free. Only values of paired fields are compared."""
+    asked = pairs.select("series", "task", F.col("before").alias("run_no"), F.col("field_old").alias("field")).unionByName(pairs.select(*FILE, F.col("field_new").alias("field"))).distinct()
+    filled = values(fields.join(asked, [*FILE, "field"], "left_semi")).where("value is not null and record_key is not null")
+    once = filled.groupBy(*FILE, "record_key", "field").agg(F.min_by("value", "line_id").alias("value"))
     old = once.select("series", "task", F.col("run_no").alias("before"), "record_key", F.col("field").alias("field_old"), F.col("value").alias("value_old"))
     new = once.select(*FILE, "record_key", F.col("field").alias("field_new"), F.col("value").alias("value_new"))
     both = pairs.join(old, ["series", "task", "before", "field_old"]).join(new, [*FILE, "record_key", "field_new"])
-    equal = both.groupBy(*FILE, "before", "field_old", "field_new", "score").agg(F.avg((F.col("value_old") == F.col("value_new")).cast("double")).alias("share")).where(F.col("share") >= EQUAL)
-    rank = lambda mine, other: F.row_number().over(Window.partitionBy(*FILE, mine).orderBy(F.desc("share"), F.desc("score"), other))
-    best = equal.withColumn("r1", rank("field_old", "field_new")).withColumn("r2", rank("field_new", "field_old"))
-    return best.where("r1 = 1 and r2 = 1").select(*FILE, "before", "field_old", "field_new")
+    share = F.avg((F.col("value_old") == F.col("value_new")).cast("double"))
+    equal = both.groupBy(*FILE, "before", "field_old", "field_new", "score").agg(share.alias("share")).where(F.col("share") >= EQUAL)
+    # per file, a fold over its few confirmed pairs from the best on
+    pair = F.struct((-F.col("share")).alias("share"), (-F.col("score")).alias("score"), "field_old", "field_new")
+    nothing = F.array().cast("array<struct<share: double, score: double, field_old: string, field_new: string>>")
+    take = lambda kept, p: F.when(F.exists(kept, lambda k: (k["field_old"] == p["field_old"]) | (k["field_new"] == p["field_new"])), kept).otherwise(F.concat(kept, F.array(p)))
+    best = equal.groupBy(*FILE, "before").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    return best.select(*FILE, "before", F.explode(F.aggregate("pairs", nothing, take)).alias("p")).select(*FILE, "before", "p.field_old", "p.field_new")
 
 
 def changes(schema: DataFrame, renamed: DataFrame) -> DataFrame:
@@ -190,15 +219,10 @@ def drift(lines: DataFrame) -> DataFrame:
     return changes(schema, cut(renamings(fields, correspondences(schema))))
 
 
-def unified(lines: DataFrame) -> DataFrame:
-    """One consistent table of all readable lines: ``line_id``, ``series``, ``task``, ``run_no``, ``record_key``,
-    ``field``, ``value`` as text, and ``number``, the value cast to a number where that is possible.
-
-    All names that confirmed renamings of a task connect, in any series, are one field; it has the name that most
-    files use (the alphabetically first of equally frequent ones). Lines delivered twice stay, with their ``line_id``."""
-    fields = read_fields(lines)
-    schema = cut(schemas(fields))
-    renamed = renamings(fields, correspondences(schema))
+def field_names(schema: DataFrame, renamed: DataFrame) -> DataFrame:
+    """``task``, ``field``, ``name``, ``kind``: the one name of all fields that renamings of a task connect, in any series
+    (the name that most files use, the alphabetically first of equally frequent ones), and the type that most of these
+    files give it. A row per field name of a task, no records."""
     files = schema.groupBy("task", "field").agg(F.count(F.lit(1)).alias("files")).withColumn("other", F.col("field"))
     edges = renamed.select("task", F.col("field_old").alias("field"), F.lit(0).cast("long").alias("files"), F.col("field_new").alias("other")).distinct()
 
@@ -218,5 +242,45 @@ def unified(lines: DataFrame) -> DataFrame:
         return pd.DataFrame([(group["task"].iloc[0], f, find(f)) for f in root], columns=["task", "field", "name"])
 
     names = files.unionByName(edges).groupBy("task").applyInPandas(connect, "task string, field string, name string")
-    text = F.when(F.col("kind") == "string", F.expr("from_json(concat('[', value, ']'), 'array<string>')[0]")).otherwise(F.col("value"))
-    return fields.join(names, ["task", "field"]).select("line_id", *FILE, "record_key", F.col("name").alias("field"), text.alias("value"), text.try_cast("double").alias("number"))
+    kinds = schema.join(names, ["task", "field"]).where("kind is not null").groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+    best = kinds.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("minus"), "kind")).alias("b")).select("name", F.col("b.kind").alias("kind"))
+    return names.join(best, "name", "left").select("task", "field", "name", F.coalesce("kind", F.lit("string")).alias("kind"))
+
+
+#: Spark types of the columns of the united table.
+TYPES = {"string": "string", "number": "double", "boolean": "boolean", "list": "array<string>", "object": "map<string, string>"}
+
+
+def unified(lines: DataFrame) -> DataFrame:
+    """One consistent table of all readable lines: ``line_id``, ``series``, ``task``, ``run_no``, ``record_key``, a typed
+    column for every field (see ``field_names``), and ``uncast``, the JSON text of values that are not of their column's
+    type, by field (null if there is none). A text where a list is due is a list of one.
+
+    Names that differ in case only, or clash with a key, get a number. Lines delivered twice stay, with their
+    ``line_id``. Lines are not shuffled: names (at most ``MOST_COLUMNS``, checked) become expressions."""
+    fields = read_fields(lines)
+    schema = cut(schemas(fields))
+    renamed = cut(renamings(fields, correspondences(schema)))
+    known = field_names(schema, renamed).limit(20 * MOST_COLUMNS + 1).collect()
+    sources: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for r in sorted(known):
+        sources.setdefault((r["name"], r["kind"]), []).append((r["task"], r["field"]))
+    if len(sources) > MOST_COLUMNS or len(known) > 20 * MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} fields")
+    used = {"line_id", *FILE, "record_key", "uncast"}
+    columns, leftovers = [], []
+    for (name, kind), fs in sorted(sources.items()):
+        label, n = name, 1
+        while label.lower() in used:
+            n += 1
+            label = f"{name}_{n}"
+        used.add(label.lower())
+        value = F.coalesce(*[F.when(F.col("task") == t, F.element_at("object", f)) for t, f in fs])
+        typed = F.try_variant_get(value, "$", TYPES[kind])
+        if kind == "list":
+            typed = F.coalesce(typed, F.array(F.try_variant_get(value, "$", "string")))
+            typed = F.when(~F.is_variant_null(value), typed)
+        columns.append(typed.alias(label))
+        leftovers.append(F.when(value.isNotNull() & ~F.is_variant_null(value) & typed.isNull(), F.struct(F.lit(label).alias("key"), F.to_json(value).alias("value"))))
+    rest = F.filter(F.array(*leftovers), lambda x: x.isNotNull()) if leftovers else F.array().cast("array<struct<key: string, value: string>>")
+    return read_objects(lines).select("line_id", *FILE, "record_key", *columns, F.when(F.size(rest) > 0, F.map_from_entries(rest)).alias("uncast"))

@@ -1,26 +1,3 @@
-"""Cutting long lineages in a way that survives the loss of executors."""
+"""The former place of ``plenarium.lineage``."""
 
-from __future__ import annotations
-
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it with its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests in local mode) is a
-    temporary folder made. The copy is reliable: executors may be lost afterwards.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plenarium-"))
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """``df``, made by narrow steps from the table ``scan``, over all cores where the scan has fewer splits than cores (a
-    small file of one row group). A scan with enough splits, as large tables have, stays as it is: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
+from plenarium.lineage import cut  # noqa: F401

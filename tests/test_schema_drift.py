@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pandas as pd
 
 from plenarium.operators import schema_drift as sd
@@ -68,12 +69,37 @@ def test_values_that_are_lists_and_objects(spark):
     assert changed(spark, files) == {(2, "renamed", "f", "g"), (2, "renamed", "usage", "used")}
 
 
-def test_unified_has_one_name_per_field(spark):
-    files = {1: recs(3, lambda i: {"f": f"x{i}", "n": i}), 2: recs(3, lambda i: {"g": f"x{i}", "n": str(i)}), 3: recs(3, lambda i: {"g": f"x{i}"})}
+def test_unified_has_one_name_and_type_per_field(spark):
+    files = {
+        1: recs(3, lambda i: {"f": f"x{i}", "n": i, "tags": ["a", "b"], "o": {"p": 1}, "Task": True, "N": i}),
+        2: recs(3, lambda i: {"g": f"x{i}", "n": i or "0", "tags": "c", "o": None, "Task": "maybe", "N": None}),
+        3: recs(3, lambda i: {"g": f"x{i}", "n": "none"}),
+    }
     got = sd.unified(lines(spark, files))
-    assert {r["field"] for r in got.collect()} == {"g", "n"}
-    assert got.where("field = 'g'").count() == 9 and got.where("field = 'n' and number is not null").count() == 6
-    assert {r["value"] for r in got.where("field = 'g'").collect()} == {"x0", "x1", "x2"}
+    assert dict(got.dtypes) == {
+        "line_id": "bigint", "series": "string", "task": "string", "run_no": "int", "record_key": "string", "uncast": "map<string,string>",
+        "g": "string", "n_2": "double", "N": "double", "tags": "array<string>", "o": "map<string,string>", "Task_2": "boolean",
+    }
+    rows = {(r["run_no"], r["record_key"]): r for r in got.collect()}
+    assert len(rows) == 9 and {r["g"] for r in rows.values()} == {"x0", "x1", "x2"}
+    assert rows[1, "k1"]["n_2"] == rows[2, "k1"]["n_2"] == rows[1, "k1"]["N"] == 1.0 and rows[2, "k1"]["N"] is None
+    assert rows[1, "k0"]["tags"] == ["a", "b"] and rows[2, "k0"]["tags"] == ["c"] and rows[3, "k0"]["tags"] is None
+    assert rows[1, "k0"]["o"] == {"p": "1"} and rows[1, "k0"]["Task_2"] is True and rows[1, "k0"]["uncast"] is None
+    assert rows[2, "k0"]["uncast"] == {"Task_2": '"maybe"'} and rows[3, "k0"]["uncast"] == {"n_2": '"none"'}
+
+
+def test_flooding_decides(spark, monkeypatch):
+    files = {1: recs(6, lambda i: {"frame": f"x{i}", "k": 1}), 2: recs(6, lambda i: {"main_frame": f"x{i}", "k": 1})}
+    assert changed(spark, files) == {(2, "renamed", "frame", "main_frame")}
+    monkeypatch.setattr(sd, "flood", lambda old, new: np.zeros((len(old), len(new))))
+    assert changed(spark, files) == {(2, "removed", "frame", ""), (2, "added", "", "main_frame")}
+
+
+def test_renaming_goes_on_among_free_fields(spark):
+    """The best pair takes its fields; the next best pair of the others is a renaming as well."""
+    old = recs(20, lambda i: {"a_label": f"x{i}", "b_label": f"x{i}" if i < 18 else "-"})
+    new = recs(20, lambda i: {"x_label": f"x{i}" if i < 19 else "+", "y_label": f"x{i}" if i < 16 else "="})
+    assert changed(spark, {1: old, 2: new}) == {(2, "renamed", "a_label", "x_label"), (2, "renamed", "b_label", "y_label")}
 
 
 def test_flooding_prefers_like_names_and_types():
