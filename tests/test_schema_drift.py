@@ -1,7 +1,6 @@
 import json
 
 import numpy as np
-import pandas as pd
 
 from plenarium.operators import schema_drift as sd
 
@@ -91,7 +90,7 @@ def test_unified_has_one_name_and_type_per_field(spark):
 def test_flooding_decides(spark, monkeypatch):
     files = {1: recs(6, lambda i: {"frame": f"x{i}", "k": 1}), 2: recs(6, lambda i: {"main_frame": f"x{i}", "k": 1})}
     assert changed(spark, files) == {(2, "renamed", "frame", "main_frame")}
-    monkeypatch.setattr(sd, "flood", lambda old, new: np.zeros((len(old), len(new))))
+    monkeypatch.setattr(sd, "flood", lambda old, new: np.zeros((len(old["field"]), len(new["field"]))))
     assert changed(spark, files) == {(2, "removed", "frame", ""), (2, "added", "", "main_frame")}
 
 
@@ -103,7 +102,7 @@ def test_renaming_goes_on_among_free_fields(spark):
 
 
 def test_flooding_prefers_like_names_and_types():
-    old = pd.DataFrame({"field": ["dominant_frame", "confidence", "country"], "kind": ["string", "number", "string"], "nested": ["", "", ""]})
-    new = pd.DataFrame({"field": ["main_frame", "conf", "country"], "kind": ["string", "number", "string"], "nested": ["", "", ""]})
+    old = ({"field": ["dominant_frame", "confidence", "country"], "kind": ["string", "number", "string"], "nested": ["", "", ""]})
+    new = ({"field": ["main_frame", "conf", "country"], "kind": ["string", "number", "string"], "nested": ["", "", ""]})
     s = sd.flood(old, new)
     assert s[0].argmax() == 0 and s[1].argmax() == 1 and s[2].argmax() == 2 and 0 < s.min() and s.max() == 1
