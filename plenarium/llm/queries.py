@@ -44,11 +44,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_share(spark: SparkSession, folder: str) -> DataFrame:
     """Per table and run file: records with a text, cut ones, and their share."""
-    texts = _texts(spark, folder).where(F.col("text").rlike(r"\S")).groupBy("part", "source").agg(F.count(F.lit(1)).alias("n_texts"))
-    cut = truncation.truncated(_texts(spark, folder)).groupBy(F.col("part").alias("p"), F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    both = texts.join(cut, texts["part"].eqNullSafe(F.col("p")) & texts["source"].eqNullSafe(F.col("s")), "left")
-    return both.select(F.col("part").alias("record_table"), F.col("source").alias("run_file"), "n_texts", n.alias("n_cut"), (n / F.col("n_texts")).alias("share"))
+    counts = truncation.verdicts(_texts(spark, folder)).groupBy(F.col("part").alias("record_table"), F.col("source").alias("run_file")).agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"))
+    return counts.withColumn("share", F.col("n_cut") / F.col("n_texts"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
