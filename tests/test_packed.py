@@ -37,6 +37,8 @@ CASES = [
     ("Coast Guard\tCoast Guard", ["Coast Guard", "Coast Guard"]),
     (" Coast Guard ", ["Coast Guard"]),
     ("; ;Coast Guard; ", ["Coast Guard"]),
+    ("|Coast Guard|Regional Court", ["Coast Guard", "Regional Court"]),
+    (';"Relief Fund; coastal branch"; Coast Guard', ["Relief Fund; coastal branch", "Coast Guard"]),
 ]
 
 
@@ -52,6 +54,22 @@ def test_slash_is_part_of_pairs_only(spark):
     assert found(spark, [*KNOWN, "Sweden / Norway"])[len(KNOWN)] == ["Sweden", "Norway"]
 
 
+def test_tables_have_dialects_of_their_own(spark):
+    """A comma is part of items in one table, and a delimiter in the other; both call the field the same."""
+    names = [f'["Council {i}, North", "Court {i}"]' for i in range(40)]
+    plain = [f'["Guard {i}", "Court {i}"]' for i in range(40)]
+    rows = [(t, i, "f", x) for t, texts in (("a", [*names, "Council 1, North"]), ("b", [*plain, "Guard 1, Court 2"])) for i, x in enumerate(texts)]
+    df = spark.createDataFrame([(*r, "") for r in rows], "record_table string, record_id long, field string, text string, pos string")
+    assert packed.infer_dialects(df)["a", "f"] != packed.infer_dialects(df)["b", "f"]
+    assert packed.CANDIDATES["comma"] not in packed.infer_dialects(df)["a", "f"].always
+
+
+def test_numbers_of_pieces_count(spark):
+    """A sign that cuts items into many more pieces than lists have scores less."""
+    assert packed._overlap({2: 10}, {2: 5}) == 1 and packed._overlap({2: 10}, {9: 5}) == 0 and packed._overlap({}, {1: 1}) == 0
+    assert packed._overlap({2: 5, 3: 5}, {3: 4, 4: 4}) == 0.5
+
+
 def test_null_blank_and_empty(spark):
     assert found(spark, [None, "", "  \n ", ";"]) == {}
     assert packed.unpack(rows(spark, []), ["actors"]).count() == 0
