@@ -8,6 +8,7 @@ with a failing pair are merged exactly. Every different word of a task is encode
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -103,23 +104,26 @@ class Vocabulary:
         return out
 
     def merged(self, word: bytes) -> list[int]:
-        """The exact merging of ``word``: the pair of lowest rank first, the leftmost of equals."""
+        """The exact merging of ``word``: the pair of lowest rank first, the leftmost of equals.
+
+        Parts are a linked list and pairs a heap, so that the work grows with n log n, whatever the length of the word."""
         parts = [self.ids[bytes([b])] for b in word]
-        while len(parts) > 1:
-            best = min(((self.ranks[p][0], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.ranks), default=None)
-            if best is None:
-                break
-            pair = parts[best[1]], parts[best[1] + 1]
-            token, out, i = self.ranks[pair][1], [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(token)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
+        heap = [(found[0], i, pair) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if (found := self.ranks.get(pair))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            right = after[i]
+            if right < 0 or (parts[i], parts[right]) != pair:
+                continue  # one of the two has been merged since
+            parts[i], parts[right] = self.ranks[pair][1], -1
+            after[i] = after[right]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] >= 0 and (found := self.ranks.get(new := (parts[left], parts[after[left]]))):
+                    heapq.heappush(heap, (found[0], left, new))
+        return [p for p in parts if p >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The tokens of each word: proposed, tested together, and merged exactly where the test fails."""

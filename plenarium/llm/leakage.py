@@ -8,21 +8,29 @@ overlapping ones are merged into removal spans.
 
 Suffixes are sorted by doubling their sorted length until no two are equal, so the rounds follow the logarithm of the
 longest repeated passage of a shard.
+
+Test items of any number: they are written to the shared checkpoint folder, with the list of their different words. A
+task builds the index of a shard once and searches it with the items block by block, as it reads them from there. No
+item passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a shard (one document longer than that is a shard of its own) and items of a block of test items. A block
-#: goes to every task; more items than that are searched block by block, each against the whole corpus.
+from plenarium.lineage import shared_folder
+
+#: Words of a shard (one document longer than that is a shard of its own), and items of a block of test items.
 SHARD, BLOCK = 400_000, 5_000
 #: Every so many positions of the text keep their place for locating.
 SAMPLE = 8
@@ -33,30 +41,56 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def write_items(items: DataFrame, item: str, text: str, window: int, folder: str) -> None:
+    """The items with at least ``window`` words in files of at most ``BLOCK`` items, and their different words."""
+    known = items.select(F.col(item).alias("item"), words(F.col(text)).alias("words")).where(F.col("item").isNotNull() & (F.size("words") >= window))
+    known.write.option("maxRecordsPerFile", BLOCK).parquet(f"{folder}/items")
+    spark = items.sparkSession
+    spark.read.schema(known.schema).parquet(f"{folder}/items").select(F.explode("words").alias("word")).distinct().write.parquet(f"{folder}/words")
+
+
+def _files(folder: str) -> tuple[pyarrow.fs.FileSystem, list[str]]:
+    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    found = system.get_file_info(pyarrow.fs.FileSelector(path))
+    return system, sorted(f.path for f in found if f.path.endswith(".parquet"))
+
+
+@lru_cache(maxsize=1)
+def read_words(folder: str) -> pa.Array:
+    """The different words of all items; number i + 2 is the word at place i."""
+    system, files = _files(f"{folder}/words")
+    parts = [pq.read_table(f, filesystem=system).column("word") for f in files]
+    return pa.chunked_array([c for p in parts for c in p.chunks], pa.string()).combine_chunks()
+
+
+@lru_cache(maxsize=4)
+def read_block(folder: str, file: str, window: int) -> Patterns | None:
+    """The windows of the items of one file."""
+    system, _ = pyarrow.fs.FileSystem.from_uri(folder)
+    table = pq.read_table(file, filesystem=system).combine_chunks()
+    return patterns(table.column("item").combine_chunks(), table.column("words").combine_chunks(), read_words(folder), window) if table.num_rows else None
+
+
 @dataclass
 class Patterns:
-    """The windows of a block of test items, as numbers of the block's vocabulary."""
+    """The windows of a block of test items, as numbers of the vocabulary."""
 
-    vocabulary: pa.Array  # number i + 2 is the word at place i
     windows: np.ndarray  # different windows, one a row
-    item_rows: np.ndarray  # a row of `windows` ...
+    item_rows: np.ndarray  # a row of `windows`, in order ...
     items: np.ndarray  # ... and the place of an item that has it
     item_ids: pa.Array
 
 
-def patterns(rows: list[tuple], window: int) -> Patterns | None:
-    """``rows``: identifier and words of each item. None if no item has ``window`` words."""
-    vocabulary = sorted({w for _, ws in rows for w in ws if len(ws) >= window})
-    number = {w: i + 2 for i, w in enumerate(vocabulary)}
-    grams, owners = [], []
-    for i, (_, ws) in enumerate(rows):
-        if len(ws) >= window:
-            grams.append(np.lib.stride_tricks.sliding_window_view(np.array([number[w] for w in ws], np.int32), window))
-            owners.append(np.full(len(grams[-1]), i))
-    if not grams:
-        return None
-    windows, at = np.unique(np.concatenate(grams), axis=0, return_inverse=True)
-    return Patterns(pa.array(vocabulary, pa.string()), windows, at.reshape(-1), np.concatenate(owners), pa.array([r[0] for r in rows]))
+def patterns(ids: pa.Array, lists: pa.ListArray, vocabulary: pa.Array, window: int) -> Patterns:
+    """The windows of items that have at least ``window`` words each, all of them in the vocabulary."""
+    number = pc.index_in(lists.flatten(), value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int32) + 2
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    many = size - window + 1
+    owner = np.repeat(np.arange(len(size)), many)
+    first = np.repeat(np.cumsum(size) - size - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    windows, at = np.unique(number[first[:, None] + np.arange(window)], axis=0, return_inverse=True)
+    order = np.argsort(at.reshape(-1), kind="stable")
+    return Patterns(windows, at.reshape(-1)[order], owner[order], ids)
 
 
 class FMIndex:
@@ -143,10 +177,20 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _find(shard: pa.Table, block: Patterns, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of the shard, place of the item, and first word of each occurrence of a window."""
+@dataclass
+class Shard:
+    """Documents with the index of their words."""
+
+    keys: pa.Array
+    index: FMIndex | None  # None: too few words for any window
+    owner: np.ndarray  # the document of each place of the indexed text ...
+    inner: np.ndarray  # ... and the place in it
+
+
+def index_of(shard: pa.Table, vocabulary: pa.Array, window: int) -> Shard:
     lists = shard.column(1).combine_chunks()
-    number = pc.fill_null(pc.add(pc.index_in(lists.flatten(), value_set=block.vocabulary), 2), 1).to_numpy(zero_copy_only=False).astype(np.int32)
+    keys = shard.column(0).combine_chunks()
+    number = pc.fill_null(pc.add(pc.index_in(lists.flatten(), value_set=vocabulary), 2), 1).to_numpy(zero_copy_only=False).astype(np.int32)
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     # one symbol 1 after each document; runs of it are of no use and are drawn together; a 0 ends all
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -156,24 +200,24 @@ def _find(shard: pa.Table, block: Patterns, window: int) -> tuple[np.ndarray, np
     owner, inner = np.insert(owner, end, np.arange(len(sizes))), np.insert(inner, end, -1)
     keep = np.concatenate([[True], (text[1:] != 1) | (text[:-1] != 1)]) if len(text) else np.zeros(0, bool)
     text, owner, inner = np.append(text[keep], 0), owner[keep], inner[keep]
+    return Shard(keys, FMIndex(text, len(vocabulary) + 2) if len(text) > window else None, owner, inner)
+
+
+def find(shard: Shard, block: Patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document of the shard, place of the item, and first word of each occurrence of a window."""
     nothing = np.zeros(0, np.int64)
-    if len(text) <= window:
-        return nothing, nothing, nothing
-    index = FMIndex(text, len(block.vocabulary) + 2)
-    hit, low, high = index.search(block.windows)
+    hit, low, high = shard.index.search(block.windows) if shard.index else (nothing, nothing, nothing)
     if not len(hit):
         return nothing, nothing, nothing
     many = high - low
     which = np.repeat(hit, many)
     place = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at = index.locate(place)
+    at = shard.index.locate(place)
     # a window may belong to several items
-    order = np.argsort(block.item_rows, kind="stable")
-    rows = block.item_rows[order]
-    first, stop = np.searchsorted(rows, which, "left"), np.searchsorted(rows, which, "right")
+    first, stop = np.searchsorted(block.item_rows, which, "left"), np.searchsorted(block.item_rows, which, "right")
     share = stop - first
-    item = block.items[order][np.repeat(first, share) + np.arange(share.sum()) - np.repeat(np.cumsum(share) - share, share)]
-    return np.repeat(owner[at], share), item, np.repeat(inner[at], share)
+    item = block.items[np.repeat(first, share) + np.arange(share.sum()) - np.repeat(np.cumsum(share) - share, share)]
+    return np.repeat(shard.owner[at], share), item, np.repeat(shard.inner[at], share)
 
 
 def leaked_passages(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, window: int = 12) -> DataFrame:
@@ -183,38 +227,27 @@ def leaked_passages(corpus: DataFrame, key: str, text: str, items: DataFrame, it
     overlapping or touching windows of an item are one span. Case, punctuation and white space do not count. Null,
     empty and short texts on either side share nothing. Repeated documents and items give a row each.
 
-    Narrow over the corpus: no shuffle, no join; every document is indexed, whole. Test items come to the driver in
-    blocks of ``BLOCK`` items; each block is searched against all documents.
+    Narrow over the corpus: no shuffle, no join; every document is read and indexed once, whole, however many items there
+    are. Items lie in the shared folder, where tasks read ``BLOCK`` of them at a time.
     """
     kinds = dict(corpus.dtypes)[key], dict(items.dtypes)[item]
     schema = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, first_word long, n_words long"
-    documents = corpus.select(F.col(key).alias("key"), words(F.col(text)).alias("words")).where("key is not null and words is not null")
-
-    def search(block: Patterns) -> DataFrame:
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for shard in _shards(batches):
-                row, which, first = _find(shard, block, window)
+    folder = shared_folder(corpus.sparkSession)
+    write_items(items, item, item_text, window, folder)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, vocabulary = _files(f"{folder}/items")[1], read_words(folder)
+        for part in _shards(batches) if len(vocabulary) else ():
+            shard = index_of(part, vocabulary, window)
+            for block in filter(None, (read_block(folder, f, window) for f in files)):
+                row, which, first = find(shard, block)
                 order = np.lexsort((first, which, row))
                 row, which, first = row[order], which[order], first[order]
                 fresh = np.ones(len(row), bool)
                 fresh[1:] = (row[1:] != row[:-1]) | (which[1:] != which[:-1]) | (first[1:] > first[:-1] + window)
                 begin = np.flatnonzero(fresh)
                 stop = np.append(begin[1:], len(row)) - 1 if len(begin) else begin
-                keys = shard.column(0).combine_chunks().take(pa.array(row[begin]))
-                yield pa.RecordBatch.from_arrays([keys, block.item_ids.take(pa.array(which[begin])), pa.array(first[begin], pa.int64()), pa.array(first[stop] + window - first[begin], pa.int64())], [key, item, "first_word", "n_words"])
-
-        return documents.mapInArrow(work, schema)
-
-    found: DataFrame | None = None
-    held: list[tuple] = []
+                yield pa.RecordBatch.from_arrays([shard.keys.take(pa.array(row[begin])), block.item_ids.take(pa.array(which[begin])), pa.array(first[begin], pa.int64()), pa.array(first[stop] + window - first[begin], pa.int64())], [key, item, "first_word", "n_words"])
 
-    def add(found: DataFrame | None, held: list[tuple]) -> DataFrame | None:
-        block = patterns(held, window)
-        return found if block is None else search(block) if found is None else found.unionAll(search(block))
-
-    for row in items.select(item, words(F.col(item_text)).alias("words")).dropna().toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == BLOCK:
-            found, held = add(found, held), []
-    found = add(found, held) if held else found
-    return found if found is not None else corpus.sparkSession.createDataFrame([], schema)
+    documents = corpus.select(F.col(key).alias("key"), words(F.col(text)).alias("words")).where("key is not null and words is not null")
+    return documents.mapInArrow(work, schema)

@@ -1,5 +1,6 @@
 import base64
 import os
+import time
 
 import pytest
 import regex
@@ -38,6 +39,24 @@ def test_speculation_fails_and_is_mended(oracle):
     assert vocab.encode_words(words) == [oracle(w) for w in words]
 
 
+@settings(max_examples=300, deadline=None)
+@given(word=st.text(st.sampled_from("abxyz qéß\u0430"), min_size=1, max_size=60))
+def test_exact_merging(oracle, word):
+    vocab = encode.vocabulary(PATH)
+    for w in regex.findall(encode.WORDS, word):
+        assert vocab.merged(w.encode()) == oracle(w)
+
+
+def test_a_word_of_a_million_letters():
+    vocab = encode.vocabulary(PATH)
+    word = ("xqzab" * 200_000).encode()
+    began = time.perf_counter()
+    tokens = vocab.merged(word)
+    assert time.perf_counter() - began < 60
+    letters = {i: t for t, i in vocab.ids.items()}
+    assert b"".join(letters[t] for t in tokens) == word and tokens[:40] == vocab.merged(word[:1000])[:40]
+
+
 def test_rows(spark, oracle):
     texts = ["A text.", None, "", "  ", "<|endoftext|>", "A text.", "é🙂 " * 30_000, "x" * 5_000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "z", 1)], "doc_id long, text string, ids int")
