@@ -5,26 +5,39 @@ Method: the characters of a text are mapped back to the bytes of a legacy code p
 well-formed multibyte sequences; those spans alone are decoded. Text garbled more than once is decoded again.
 
 The automaton cannot see text of one single-byte code page read as another, since no multibyte sequence comes out of
-it. Such words are found by their shape (a symbol, a capital accent or a letter of another script inside a word of
-small Latin letters, or a run of accented letters) and rewritten by the pair of code pages under which all of them
-become plain words. Replacement characters and C1 controls mark text that cannot be restored.
+it, nor letters that became question marks. Such characters are found by the corpus itself: a character between its
+neighbours (a *context*) is mistaken if, mapped back to its byte and read by another code page, it gives a context that
+is ``RATIO`` times as frequent in the corpus; a question mark, if letters between the same neighbours are. Replacement
+characters and C1 controls mark text that cannot be restored, as question marks do.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plenarium.lineage import shared_folder
+
 #: Code pages whose text may hold UTF-8 read byte by byte.
 CODECS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp866")
 #: (read as, written in) pairs of single-byte code pages.
 PAIRS = (("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "iso8859-2"), ("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp1252", "koi8-u"), ("cp437", "cp1250"), ("mac_roman", "cp1250"), ("cp866", "cp1251"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"))
 
+#: How much more frequent a context has to be than the one it is mistaken for (which counts as seen once at least).
+RATIO = 50
+#: Stands for a pair of code pages where a letter became a question mark.
+LOST = "?"
+
 # Decoded characters that prove a span by themselves: accented Latin letters, usual signs and punctuation.
 _COMMON = regex.compile("[ -ſƒȘ-țˆ˜Ḁ-ỹ‐-⁄€№™•−≤≥]")
 # Decoded characters of other scripts, believed in runs.
@@ -80,18 +93,6 @@ def _believed(codec: str, span: str, text: str) -> bool:
     return True
 
 
-# Signs inside words that one code page shows for letters of another.
-_SIGNS = "±≤≥·¯˙°¿÷×¾½¼¹²³ºª¸´¨¬¢£¥§¶µ∞∩⌠⌡≈√ⁿ■‡†‰‹›∫∂∑∏π◊∆ΘΦΩδφεΓΣστα╓╔╘╙╒═║╪╫┘┌█▄▌▐▀╬╧╨╤╥"
-_S = regex.escape(_SIGNS)
-_WORDS = regex.compile(rf"(?<![\p{{L}}])[\p{{L}}\p{{M}}{_S}]+(?![\p{{L}}])")
-# Each case begins with its rare character, so that clean text is passed over fast.
-_ODD = regex.compile(
-    rf"[{_S}](?<=\p{{Latin}}[^·]|\p{{Ll}}{{2}}·)(?=\p{{Ll}})"  # a sign inside a word (a dot may stand between units)
-    r"|[À-ÖØ-ÞŸŠŽŒ](?<=\p{Ll}.)(?=\p{Ll})"  # a capital accent between small letters
-    r"|[Ͱ-Ͽ](?<=\p{Latin}.)(?=\p{Latin})"  # a Greek letter inside a Latin word
-    r"|[╔╓═├](?<![\p{L}\s─│├└].)(?=\p{Ll})|[√÷╔╓](?<=\s.)(?=\p{Ll})"  # a sign for a first letter
-    r"|[À-ÿ³¿ºª¯´¸]{4,}"  # a word of accented letters alone
-)
 _LOST = regex.compile("[�\u0080-\u0084\u0086-\u009f]")
 
 
@@ -124,60 +125,195 @@ def _decode(text: str) -> tuple[str, int]:
     return text, spans
 
 
-def _recode(text: str) -> tuple[str, int, bool]:
-    """``text`` with words of a mistaken single-byte code page rewritten; the number of such words; whether all were."""
-    if not _ODD.search(text):
-        return text, 0, True
-    odd = [m for m in _WORDS.finditer(text) if _ODD.search(m[0]) and not regex.fullmatch(r"\p{L}*l·l\p{L}*", m[0], regex.I)]
-    if not odd:
-        return text, 0, True
-    best: tuple[int, dict[str, str]] = (0, {})
+@lru_cache(maxsize=1)
+def _single() -> dict[str, dict[str, str]]:
+    """For each pair of code pages: the characters of the first and what the second makes of their bytes."""
+    out = {}
     for read, written in PAIRS:
-        new = {}
-        for m in odd:
-            try:
-                word = m[0].encode(read).decode(written)
-            except UnicodeError:
-                continue
-            if word != m[0] and regex.fullmatch(r"\p{Latin}+|\p{Cyrillic}+", word) and not _ODD.search(word) and (word.islower() or word.istitle() or word.isupper()):
-                new[m[0]] = word
-        if len(new) > best[0]:
-            best = (len(new), new)
-    fixed = best[1]
-    return _WORDS.sub(lambda m: fixed.get(m[0], m[0]), text), len(odd), len(fixed) == len({m[0] for m in odd})
+        shown, meant = _bytes(read), _bytes(written)
+        out[f"{read} {written}"] = {shown[b]: meant[b] for b in shown if shown[b] != meant[b] and meant[b].isprintable() and shown[b].isprintable()}
+    return out
+
+
+#: Code points from that on are no characters of a code page.
+_TOP = 0xFFFF
+
+
+@lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: what stands for it in a context (ASCII letters, question marks and letters and signs of code pages
+    themselves, digits 0, anything else a space), and, as bits, the code pages in which it begins or goes on a
+    multibyte span."""
+    plain, lead, tail = np.full(_TOP + 1, ord(" "), np.int64), np.zeros(_TOP + 1, np.int64), np.zeros(_TOP + 1, np.int64)
+    for c in range(0x80):
+        plain[c] = c if chr(c).isalpha() or chr(c) == "?" else ord("0") if chr(c).isdigit() else ord(" ")
+    for table in _single().values():
+        for pair in table.items():
+            for c in pair:
+                if 0xA0 < ord(c) < _TOP:
+                    plain[ord(c)] = ord(c)
+    for i, codec in enumerate(CODECS):
+        _, _, leads, tails = _automaton(codec)
+        for members, bits in ((leads, lead), (tails, tail)):
+            for c in members:
+                bits[min(ord(c), _TOP)] |= 1 << i
+    return plain, lead, tail
+
+
+@dataclass
+class Scan:
+    """What a scan of several texts found: contexts, each with its text and place, and texts that may hold spans."""
+
+    keys: np.ndarray
+    texts: np.ndarray
+    places: np.ndarray
+    spans: np.ndarray
+
+
+def scan(texts: list[str]) -> Scan:
+    """The contexts of texts: each character of the code pages, and each question mark before a letter, between its
+    neighbours, as one number of three characters. All texts are scanned together as arrays of code points."""
+    plain, lead, tail = _classes()
+    codes = np.minimum(np.frombuffer(("\0" + "\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32), _TOP)
+    starts = np.cumsum([1] + [len(t) + 1 for t in texts])
+    c = plain[codes]
+    before, after = c[:-2], c[2:]
+    letter = (after > 64) & (after < 128)
+    at = np.flatnonzero((c[1:-1] > 127) | (c[1:-1] == ord("?")) & letter & (before != ord("0")) & (before != ord("?"))) + 1
+    owner = np.searchsorted(starts, at, "right") - 1
+    span = np.flatnonzero(lead[codes[:-1]] & tail[codes[1:]])
+    return Scan(c[at - 1] << 32 | c[at] << 16 | c[at + 1], owner, at - starts[owner], np.unique(np.searchsorted(starts, span, "right") - 1))
+
+
+def _slices(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """``texts`` in parts of about so many characters, with the place of the first."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > most:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def mistaken(texts: DataFrame, text: str) -> DataFrame:
+    """``context`` and ``pair`` (read as, written in; or ``LOST``): the contexts of a corpus that are mistaken ones.
+
+    One pass over the texts, one grouping of contexts (counted per batch first; their number follows the alphabets, not
+    the corpus), and a join of contexts with what they would be. Counts are documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, part in _slices(b.column(0).to_pylist()):
+                found = scan(part)
+                once = np.unique(np.stack([found.texts, found.keys]), axis=1)[1] if len(found.keys) else found.keys
+                keys, n = np.unique(once, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["context", "n"])
+
+    def readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            context, pair, other, n = [], [], [], []
+            for key, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c = [chr(key >> 32), chr(key >> 16 & 0xFFFF), chr(key & 0xFFFF)]
+                for name, table in _single().items():
+                    if c[1] in table:
+                        x, y, z = (ord(table.get(q, q)) for q in c)
+                        context.append(key)
+                        pair.append(name)
+                        other.append(x << 32 | y << 16 | z)
+                        n.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(context, pa.int64()), pa.array(pair, pa.string()), pa.array(other, pa.int64()), pa.array(n, pa.int64())], ["context", "pair", "other", "n"])
+
+    counts = texts.select(text).mapInArrow(count, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    read = counts.mapInArrow(readings, "context long, pair string, other long, n long")
+    known = counts.select(F.col("context").alias("other"), F.col("n").alias("m"))
+    plainer = read.join(known, "other").where(F.col("m") >= RATIO * F.col("n")).select("context", "pair")
+    # question marks: all letters that stand between the same neighbours count
+    middle = F.shiftright("context", 16).bitwiseAND(F.lit(0xFFFF))
+    ends = F.col("context") - F.shiftleft(middle, 16)
+    letters = counts.where(middle > 127).groupBy(ends.alias("ends")).agg(F.sum("n").alias("m"))
+    marks = counts.where(middle == ord("?")).select("context", ends.alias("ends"), "n")
+    return plainer.unionByName(marks.join(letters, "ends").where(F.col("m") >= RATIO * F.col("n")).select("context", F.lit(LOST).alias("pair")))
+
+
+@lru_cache(maxsize=1)
+def _known(folder: str) -> dict[int, list[str]]:
+    """The mistaken contexts in the shared folder, with their pairs."""
+    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    pairs: dict[int, list[str]] = {}
+    for f in system.get_file_info(pyarrow.fs.FileSelector(path)):
+        if f.path.endswith(".parquet"):
+            for r in pq.read_table(f.path, filesystem=system).to_pylist():
+                pairs.setdefault(r["context"], []).append(r["pair"])
+    return pairs
+
 
+def _recode(text: str, pairs: dict[int, list[str]]) -> tuple[str, bool, bool]:
+    """``text`` with mistaken characters rewritten by the pair of code pages that explains most of them; whether there
+    are any; whether some cannot be."""
+    if not pairs or not text:
+        return text, False, False
+    found = scan([text])
+    hits = [(p, pairs[k]) for k, p in zip(found.keys.tolist(), found.places.tolist(), strict=True) if k in pairs]
+    if not hits:
+        return text, False, False
+    votes = Counter(pair for _, names in hits for pair in names if pair != LOST)
+    lost = any(LOST in names for _, names in hits)
+    if not votes:
+        return text, True, lost
+    best = min(votes, key=lambda p: (-votes[p], p))
+    table, letters = _single()[best], list(text)
+    belongs = lambda c: c.isalpha() or c in table
+    for at, names in hits:
+        if best in names:  # and other characters beyond ASCII of the same word
+            left = right = at
+            while left > 0 and belongs(text[left - 1]):
+                left -= 1
+            while right + 1 < len(text) and belongs(text[right + 1]):
+                right += 1
+            letters[left : right + 1] = [table.get(c, c) for c in text[left : right + 1]]
+    return "".join(letters), True, lost
 
-def repair_text(text: str) -> tuple[bool, str | None]:
-    """Whether ``text`` went through a wrong decoding, and the text as it was, as far as it can be restored.
 
-    (True, None): nothing of it can be restored."""
+def repair_text(text: str, pairs: dict[int, list[str]] | None = None) -> tuple[bool, str | None, bool]:
+    """Whether ``text`` went through a wrong decoding; the text as it was, as far as it can be restored (null if nothing
+    of it can be); whether no sign of loss is left. ``pairs`` are the mistaken contexts of the corpus."""
     new, spans = _decode(text)
-    new, odd, _ = _recode(new)
-    lost = bool(_LOST.search(new))
-    if not (spans or odd or lost):
-        return False, None
-    return True, new if new != text else None
+    new, odd, lost = _recode(new, pairs or {})
+    lost = lost or bool(_LOST.search(new))
+    return bool(spans or odd or lost), new if new != text else None, not lost
 
 
 def repair_encoding(df: DataFrame, key: str, column: str) -> DataFrame:
     """The garbled rows of ``df``: ``key``, ``restored`` (null where nothing can be restored) and ``whole``, whether
     no sign of loss is left in it.
 
-    Narrow, no shuffle; plain ASCII texts end in the JVM. Null, empty and blank texts give no row, repeated rows a row
-    each; texts of any length are read whole.
+    Two passes over the texts, whole ones of any length: for the contexts of the corpus (see ``mistaken``; those found
+    go through the shared folder), and to repair. Texts are not shuffled; plain ASCII texts without a question mark end
+    in the JVM. Null, empty and blank texts give no row, repeated rows a row each.
     """
     kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key), F.col(column).alias("text")).where((F.octet_length(column) != F.char_length(column)) | F.col(column).contains("?"))
+    folder = f"{shared_folder(df.sparkSession)}/mistaken"
+    mistaken(rows, "text").write.parquet(folder)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = _known(folder)
+        odd = np.array(sorted(pairs), np.int64)
         for b in batches:
             keep, text, whole = [], [], []
-            for i, x in enumerate(b.column(1).to_pylist()):
-                garbled, new = repair_text(x)
-                if garbled:
-                    keep.append(i)
-                    text.append(new)
-                    whole.append(new is not None and not _LOST.search(new))
+            texts = b.column(1).to_pylist()
+            for first, part in _slices(texts):
+                found = scan(part)
+                hit = np.unique(np.concatenate([found.texts[np.isin(found.keys, odd)], found.spans]))
+                asked = set(hit.tolist()) | {i for i, t in enumerate(part) if _LOST.search(t)}
+                for i in sorted(asked):
+                    garbled, new, clean = repair_text(part[i], pairs)
+                    if garbled:
+                        keep.append(first + i)
+                        text.append(new)
+                        whole.append(new is not None and clean)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(text, pa.string()), pa.array(whole, pa.bool_())], [key, "restored", "whole"])
 
-    rows = df.select(F.col(key), F.col(column)).where(F.col(column).rlike("[^\\x00-\\x7f]"))
     return rows.mapInArrow(work, f"`{key}` {kind}, restored string, whole boolean")

@@ -1,5 +1,11 @@
 import pytest
-from plenarium.llm.garbled import repair_encoding, repair_text
+from plenarium.llm import garbled
+from plenarium.llm.garbled import repair_encoding
+
+
+def repair_text(text):
+    return garbled.repair_text(text)[:2]
+
 
 FRENCH = "Le préfet a déjà rejeté la réforme du séjour à Ömistad… ça coûte 30 €"
 UKRAINIAN = "Шановні колеги, міська рада зареєструвала угоду"
@@ -26,15 +32,48 @@ def test_garbled_twice():
     assert repair_text(once.encode().decode("latin1")) == (True, FRENCH)
 
 
+WORDS = "según la oposición del técnico el préstamo está así für größere Plätze über Städte être déjà où çà naïf señor año – “oui”".split()
+UK = "прикордонна служба чекає на рішення міської ради про угоду і біженців".split()
+
+
+def corpus(n, words, seed):
+    import random
+
+    rng = random.Random(seed)
+    return [" ".join(rng.choice(words) for _ in range(12)) for _ in range(n)]
+
+
+def repaired(spark, clean, other):
+    """What the operator says of ``other`` texts in a corpus of ``clean`` ones."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, *other])], "id long, text string").repartition(3)
+    found = {r["id"]: (r["restored"], r["whole"]) for r in repair_encoding(df, "id", "text").collect()}
+    assert all(i >= len(clean) for i in found), [clean[i] for i in found if i < len(clean)]
+    return [found.get(len(clean) + i) for i in range(len(other))]
+
+
 @pytest.mark.parametrize("written,read", [("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850")])
-def test_single_byte_mistakes(written, read):
-    text = "según la oposición del técnico, el préstamo"
-    assert repair_text(text.encode(written).decode(read)) == (True, text)
+def test_single_byte_mistakes(spark, written, read):
+    """Texts that the corpus does not hold, made of its words: all are found and restored."""
+    texts = [t for t in corpus(8, WORDS, 7) if not t.isascii()]
+    bad = [t.encode(written).decode(read) for t in texts]
+    assert repaired(spark, corpus(900, WORDS, 1), bad) == [(t, True) for t in texts]
+
+
+def test_cyrillic_as_latin(spark):
+    texts = corpus(5, UK, 3)
+    bad = [t.encode("cp1251").decode("cp1252") for t in texts]
+    assert repaired(spark, corpus(900, UK, 1) + corpus(200, WORDS, 1), bad) == [(t, True) for t in texts]
+
+
+def test_letters_lost_to_question_marks(spark):
+    lost = [t.encode("ascii", "replace").decode() for t in corpus(4, WORDS, 5)]
+    other = ["Really? Yes. Is it so?No", "see page?id=1", "what??", "?", "12?a"]
+    assert repaired(spark, corpus(900, WORDS, 1), lost + other) == [(None, False)] * len(lost) + [None] * len(other)
 
 
-def test_cyrillic_as_latin():
-    garbled, text = repair_text("прикордонна служба чекає".encode("cp1251").decode("cp1252"))
-    assert garbled and "прикордонна" in text
+def test_rare_is_not_mistaken(spark):
+    other = ["xΩy", "ÀÉÈÊ", "Ångström Łódź Dvořák", "5 ± 2 °C, ½, m²", "Paral·lel col·legi", "³He and ¿qué?"]
+    assert repaired(spark, corpus(900, WORDS, 1), other) == [None] * len(other)
 
 
 def test_lost():
