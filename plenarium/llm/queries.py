@@ -22,15 +22,24 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_n(table(spark, folder, "task9_ukraine_yearly_attention"), "country", "n_mentions", "attention_id", 10).select("country", "attention_id")
 
 
+def _named(spark: SparkSession, folder: str, given: gazetteer.Words = gazetteer.COUNTRY_WORDS) -> DataFrame:
+    places = table(spark, folder, "facts", "fact_id", "entity_content", "entity_category").where("entity_category = 'LOC'")
+    return gazetteer.match_names(places, "fact_id", "entity_content", table(spark, folder, "country_list"), "iso3", "country_name", "iso3", given)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    places = table(spark, folder, "facts").where("entity_category = 'LOC'")
-    return gazetteer.match_names(places, "fact_id", "entity_content", table(spark, folder, "country_list"), "iso3", "country_name", "iso3")
+    return _named(spark, folder).select("fact_id", "iso3")
 
 
 def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
-    """Names that stand for no country, with the rows that hold them."""
-    names = table(spark, folder, "facts", "fact_id", "entity_content")
-    return p5_found(spark, folder).where(F.col("iso3") == gazetteer.NONE).join(names, "fact_id").groupBy("entity_content").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Names that stand for no country, with the number of rows that hold them."""
+    return _named(spark, folder).where(F.col("iso3") == gazetteer.NONE).groupBy("entity_content").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def p5_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """All entries of the list within reach of each different name of a place, with their distances."""
+    places = table(spark, folder, "facts", "entity_content", "entity_category").where("entity_category = 'LOC'")
+    return gazetteer.candidates(places, "entity_content", table(spark, folder, "country_list"), "iso3", "country_name")
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +80,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_restored(spark, folder).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_unmatched, p6_found, p6_share, p8_ids, p9_found, p9_spans, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_unmatched, p5_candidates, p6_found, p6_share, p8_ids, p9_found, p9_spans, p10_found, p10_restored)}
 
 ORACLE = {
     "p4_found": """
