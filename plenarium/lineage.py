@@ -35,5 +35,5 @@ SMALL = 256 << 20
 def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
     """``df``, made by narrow steps from the table ``scan``, over all cores if the table has less than ``SMALL`` bytes (its
     few row groups would leave cores idle). A larger table stays as it is: there its rows are never shuffled."""
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df

@@ -112,14 +112,33 @@ def with_speakers(df: DataFrame) -> DataFrame:
     return df.join(sources, "target_iso3", "left").fillna(False, ["speaks"])
 
 
-def yearly_attention(df: DataFrame) -> DataFrame:
-    """Source × target × year × scope: mentions, speeches, speakers, mean score and sentiment."""
+def normalized_asymmetry(mentions: DataFrame, units: DataFrame, least: int = 10, smooth: float = 0.5) -> DataFrame:
+    """Directed pairs of at least ``least`` mentions, against four totals: all mentions of the source and of the target as
+    a source, and the units (speeches, say; columns ``country``, ``units``) of both. Rates per 1,000 of each, and the
+    smoothed ratio of forward to reverse mentions per unit with its log. A missing total counts as 1."""
+    counts = mentions.groupBy("country", "target_iso3").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("country").agg(F.sum("n").alias("n_source"))
+    sides = counts.join(totals, "country").join(units.withColumnRenamed("units", "source_units"), "country", "left")
+    sides = sides.join(totals.select(F.col("country").alias("target_iso3"), F.col("n_source").alias("n_target")), "target_iso3", "left")
+    sides = sides.join(units.select(F.col("country").alias("target_iso3"), F.col("units").alias("target_units")), "target_iso3", "left").fillna(1, ["source_units", "target_units"]).fillna(0, ["n_target"])
+    back = counts.select(F.col("target_iso3").alias("country"), F.col("country").alias("target_iso3"), F.col("n").alias("n_reverse"))
+    pairs = sides.where(F.col("n") >= least).join(back, ["country", "target_iso3"], "left").fillna(0, ["n_reverse"])
+    forward, reverse = (F.col("n") + smooth) / F.col("source_units"), (F.col("n_reverse") + smooth) / F.col("target_units")
+    return pairs.withColumns({
+        "rate_per_1000_units": F.col("n") * 1000 / F.col("source_units"), "rate_per_1000_mentions": F.col("n") * 1000 / F.col("n_source"),
+        "total": F.col("n") + F.col("n_reverse"), "raw_ratio": F.col("n") / (F.col("n_reverse") + 1), "normalized_ratio": forward / reverse, "normalized_log_ratio": F.ln(forward) - F.ln(reverse),
+    })
+
+
+def yearly_attention(df: DataFrame, score: str | None = None) -> DataFrame:
+    """Source × target × year × scope: mentions, speeches, speakers, mean sentiment, and the mean of ``score`` if asked."""
+    more = [T.exact_mean(F.col(score), 3).alias("mean_concreteness")] if score else []
     scoped = with_speakers(df)
     return (
         scoped.withColumn("analysis_scope", analysis_scope(scoped))
         .withColumn("source_year", F.year("session_date"))
         .groupBy("country", "target_iso3", "source_year", "analysis_scope")
-        .agg(F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("speech_id").alias("n_speeches"), F.count_distinct("speaker_id").alias("n_speakers"), T.exact_mean(F.col("sentence_sentiment_value")).alias("mean_sentiment"))
+        .agg(F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("speech_id").alias("n_speeches"), F.count_distinct("speaker_id").alias("n_speakers"), T.exact_mean(F.col("sentence_sentiment_value")).alias("mean_sentiment"), *more)
     )
 
 

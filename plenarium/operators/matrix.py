@@ -7,7 +7,7 @@ not on the corpus; they stay distributed all the same, save for the singular val
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenarium.functions import text as T
@@ -54,6 +54,36 @@ def attribute_shares(df: DataFrame, row: str, attribute: str) -> DataFrame:
     return shares(counts, row, attribute, "n").select(row, F.concat(F.lit(f"{attribute}="), F.col(attribute).cast("string")).alias("feature"), F.col("share").alias("value"))
 
 
+def comparative_features(df: DataFrame, row: str, levels: list[str], target: str, top: int, means: dict[str, int], ids: dict[str, str]) -> DataFrame:
+    """Every feature of every source as (row, feature, value), 0 where absent: logs of mentions and of different ``ids``
+    (feature name by column), different targets, means of numbers of so many decimals, the share of each label of
+    ``levels`` (``level=label``), and of the ``top`` most named targets.
+
+    The mentions are read once: rows are counted by source, attribute and value; the counts by source and label, a
+    small table, are written to the shared checkpoint folder, and all features are made of them."""
+    entry = lambda name, value: F.struct(F.lit(name).alias("attribute"), value.cast("string").alias("value"))
+    whole = {f"__{c}": F.round(F.col(c) * 10**d).cast("long") for c, d in means.items()}
+    long = df.select(row, *[v.alias(k) for k, v in whole.items()], F.inline(F.array(entry("", F.lit("")), *[entry(c, F.col(c)) for c in (*levels, target, *ids.values())])))
+    sums = lambda first: [x for c in means for x in ((F.sum(F.when(F.col("attribute") == "", F.col(f"__{c}"))), F.count(F.when(F.col("attribute") == "", F.col(f"__{c}")))) if first else (F.sum(f"__s_{c}"), F.sum(f"__c_{c}")))]
+    names = [x for c in means for x in (f"__s_{c}", f"__c_{c}")]
+    counts = long.where("value is not null").groupBy(row, "attribute", "value").agg(F.count(F.lit(1)).alias("n"), *[x.alias(a) for x, a in zip(sums(True), names, strict=True)])
+    label = F.when(F.col("attribute").isin([*levels, target]), F.col("value"))
+    counts = cut(counts.groupBy(row, "attribute", label.alias("label")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_values"), *[x.alias(a) for x, a in zip(sums(False), names, strict=True)]))
+
+    def of(attribute: str, figure: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("attribute") == attribute, F.col(figure))), F.lit(0))
+
+    sizes = {"log_mentions": F.log1p(of("", "n").cast("double"))} | {name: F.log1p(of(c, "n_values").cast("double")) for name, c in ids.items()} | {"n_targets": of(target, "n_values").cast("double")}
+    sizes |= {f"mean_{c}": F.coalesce(F.try_divide(F.sum(f"__s_{c}"), F.sum(f"__c_{c}")) / 10**d, F.lit(0.0)) for c, d in means.items()}
+    wide = counts.groupBy(row).agg(of("", "n").alias("__total"), *[v.alias(k) for k, v in sizes.items()])
+    totals = wide.select(row, "__total")
+    targets = counts.where(F.col("attribute") == target)
+    top_targets = targets.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(top).select("label")
+    shown = counts.where(F.col("attribute").isin(levels)).unionByName(targets.join(top_targets, "label", "left_semi"))
+    shares_of = shown.join(totals, row).select(row, F.concat("attribute", F.lit("="), "label").alias("feature"), (F.col("n") / F.col("__total")).alias("value"))
+    return complete(wide.drop("__total").unpivot([row], list(sizes), "feature", "value").unionByName(shares_of), row)
+
+
 def complete(features: DataFrame, row: str) -> DataFrame:
     """Every feature for every source, 0 where absent: the feature names as one array beside each source."""
     names = features.agg(F.sort_array(F.collect_set("feature"))).scalar()
@@ -79,6 +109,34 @@ def cosine(features: DataFrame, row: str, value: str) -> DataFrame:
     return unit.join(other, "feature").where("a < b").groupBy("a", "b").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sum(F.col("u") * F.col("v")))).alias("similarity"))
 
 
+def policy_pairs(cells: DataFrame, cross: DataFrame, quiet: int, loud: int, similar: float = 0.5, least_cross: int = 30, shown: int = 3) -> DataFrame:
+    """Pairs of sources with similar profiles, in two strata: the ``quiet`` most similar of all, and of those with a
+    similarity from ``similar`` and at least ``least_cross`` mentions of each other, the ``loud`` most mentioned.
+
+    ``cells``: ``country``, ``feature``, ``value`` (a profile); ``cross``: ``country``, ``target_iso3``, ``n``. Columns
+    ``a`` < ``b``, ``similarity``, mentions both ways, their sum, and the ``shown`` cells that add most to the similarity.
+    Sources are speaking parliaments, so that their pairs are few."""
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("country")))
+    unit = cells.select(F.col("country").alias("a"), "feature", (F.col("value") / norm).alias("u"))
+    shared = unit.join(unit.select(F.col("a").alias("b"), "feature", F.col("u").alias("v")), "feature").where("a < b").select("a", "b", "feature", F.round(F.col("u") * F.col("v"), 9).alias("part"))
+    entry = F.struct((-F.col("part")).alias("minus"), "feature")
+    pairs = shared.groupBy("a", "b").agg(F.round(F.sum("part"), 6).alias("similarity"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(entry)), 1, shown), lambda x: x["feature"]), "; ").alias("shared_cells"))
+    there = cross.select(F.col("country").alias("a"), F.col("target_iso3").alias("b"), F.col("n").alias("n_ab"))
+    back = cross.select(F.col("target_iso3").alias("a"), F.col("country").alias("b"), F.col("n").alias("n_ba"))
+    pairs = cut(pairs.join(there, ["a", "b"], "left").join(back, ["a", "b"], "left").fillna(0, ["n_ab", "n_ba"]).withColumn("cross_total", F.col("n_ab") + F.col("n_ba")))
+    most_similar = pairs.orderBy(F.desc("similarity"), "a", "b").limit(quiet)
+    most_mentioned = pairs.where((F.col("similarity") >= similar) & (F.col("cross_total") >= least_cross)).orderBy(F.desc("cross_total"), "a", "b").limit(loud)
+    return most_similar.union(most_mentioned).distinct()
+
+
+def coordinate_table(counts: DataFrame, row: str, column: str) -> DataFrame:
+    """Rows and columns of a correspondence analysis with coordinates, mass, mentions and their greatest residuals."""
+    cells = residuals(counts, row, column).withColumn("residual", F.round("residual", 9))
+    own = lambda kind, c, other: counts.groupBy(F.col(c).alias("label")).agg(F.sum("n").alias("mentions")).join(top_residuals(cells, c, other).withColumnRenamed(c, "label"), "label", "left").withColumn("kind", F.lit(kind))
+    both = own("row", row, column).unionByName(own("column", column, row))
+    return correspondence(counts, row, column).select("kind", "label", "dim1", "dim2", "mass").join(both, ["kind", "label"])
+
+
 def extremes(pairs: DataFrame, value: str, n: int = 8) -> DataFrame:
     """The ``n`` highest and lowest rows of a pair table."""
     high = pairs.orderBy(F.desc(value), "a", "b").limit(n).withColumn("kind", F.lit("closest"))
@@ -96,9 +154,8 @@ def signatures(z: DataFrame, row: str, n: int = 4) -> DataFrame:
 def lift(df: DataFrame, row: str, column: str, least: int = 20) -> DataFrame:
     """Share of a label within a source over its share in the corpus, for cells of at least ``least`` rows."""
     counts = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))
-    by_row, by_col, everything = Window.partitionBy(row), Window.partitionBy(column), Window.partitionBy(F.lit(0))
-    inside = F.col("n") / F.sum("n").over(by_row)
-    overall = F.sum("n").over(by_col) / F.sum("n").over(everything)
+    inside = F.col("n") / F.sum("n").over(Window.partitionBy(row))
+    overall = F.sum("n").over(Window.partitionBy(column)) / counts.agg(F.sum("n")).scalar()
     return counts.withColumns({"share": inside, "corpus_share": overall}).where(F.col("n") >= least).withColumn("lift", F.col("share") / F.col("corpus_share"))
 
 
@@ -114,8 +171,7 @@ def contingency(df: DataFrame, row: str, column: str, least_row: int, least_colu
 
 def residuals(counts: DataFrame, row: str, column: str) -> DataFrame:
     """(n − e) / √e of every cell that is there, e expected from the margins."""
-    by_row, by_col, everything = Window.partitionBy(row), Window.partitionBy(column), Window.partitionBy(F.lit(0))
-    expected = F.sum("n").over(by_row) * F.sum("n").over(by_col) / F.sum("n").over(everything)
+    expected = F.sum("n").over(Window.partitionBy(row)) * F.sum("n").over(Window.partitionBy(column)) / counts.agg(F.sum("n")).scalar()
     return counts.withColumn("expected", expected).withColumn("residual", (F.col("n") - F.col("expected")) / F.sqrt("expected"))
 
 

@@ -15,10 +15,10 @@ def distribution(df: DataFrame, *keys: str, least: int = 1, top: int | None = No
 
 
 def with_percent(counts: DataFrame, within: list[str] | None = None, value: str = "n") -> DataFrame:
-    """A count table with each count's percentage of all, or of its group; empty groups give 0. The window runs over
-    counts, never over rows of the corpus."""
-    window = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    return counts.withColumn("percent", F.coalesce(F.try_divide(F.col(value) * 100.0, F.sum(value).over(window)), F.lit(0.0)))
+    """A count table with each count's percentage of all, or of its group; empty groups give 0. The window of groups runs
+    over counts, never over rows of the corpus; the total of all is a scalar."""
+    total = F.sum(value).over(Window.partitionBy(*within)) if within else counts.agg(F.sum(value)).scalar()
+    return counts.withColumn("percent", F.coalesce(F.try_divide(F.col(value) * 100.0, total), F.lit(0.0)))
 
 
 def entity_stats(df: DataFrame, key: str, value: str, least: int = 1) -> DataFrame:
@@ -33,7 +33,9 @@ def pivot_counts(df: DataFrame, row: str, column: str, levels: list[str]) -> Dat
     return df.groupBy(row).agg(*[F.count_if(F.col(column) == x).alias(re.sub(r"\W", "_", x)) for x in levels])
 
 
-def modes(df: DataFrame, keys: list[str], columns: list[str]) -> list[Column]:
+def modes(columns: list[str]) -> list[Column]:
+    """The most frequent value of labels with few different ones, beside other aggregates (see ``profile`` for all in one
+    pass of counts)."""
     return [F.mode(c, deterministic=True).alias(f"dominant_{c}") for c in columns]
 
 
@@ -42,19 +44,41 @@ def joined_set(column: str, name: str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(column)), ", ").alias(name)
 
 
-def mention_profile(df: DataFrame, keys: list[str], modal: list[str], joined: list[str], least: int = 1) -> DataFrame:
-    """Per key: mentions, first and last year, mean score, the mode of several labels, joined sets of words.
-
-    Labels are few; sets and modes of a group hold different values only."""
-    out = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_mentions"),
-        F.min("source_year").alias("first_year"),
-        F.max("source_year").alias("last_year"),
-        F.round(T.exact_mean(F.col("concreteness_score"), 3), 3).alias("mean_concreteness"),
-        *modes(df, keys, modal),
-        *[joined_set(c, f"{c}_seen") for c in joined],
+def profile(df: DataFrame, keys: list[str], modal: list[str] = (), joined: list[str] = (), distinct: list[str] = (), means: dict[str, int] | None = None, spans: list[str] = ()) -> DataFrame:
+    """Per key, from one pass over the rows: ``n``; the most frequent value of each ``modal`` label (``dominant_…``, the
+    lowest of equals); the different values of ``joined`` ones, in order, as one text (``…_seen``); the number of
+    different values of ``distinct`` ones (``n_…``); means of numbers of so many decimals (``mean_…``); first and last
+    of ``spans`` (``first_…``, ``last_…``).
+
+    Rows are grouped by key, attribute and value first, so that a key that holds most rows is one row per value and
+    task before the shuffle; all results are made of these counts."""
+    means = means or {}
+    entry = lambda name, value: F.struct(F.lit(name).alias("attribute"), value.cast("string").alias("value"))
+    labels = list(dict.fromkeys([*modal, *joined, *distinct]))
+    whole = {f"__{c}": F.round(F.col(c) * 10**d).cast("long") for c, d in means.items()} | {f"__{c}": F.col(c) for c in spans}
+    long = df.select(*keys, *[v.alias(k) for k, v in whole.items()], F.inline(F.array(entry("", F.lit(None)), *[entry(c, F.col(c)) for c in labels])))
+    mine = lambda c: F.when(F.col("attribute") == "", F.col(c))
+    first = long.groupBy(*keys, "attribute", "value").agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[x for c in means for x in (F.sum(mine(f"__{c}")).alias(f"__s_{c}"), F.count(mine(f"__{c}")).alias(f"__c_{c}"))],
+        *[x for c in spans for x in (F.min(mine(f"__{c}")).alias(f"__min_{c}"), F.max(mine(f"__{c}")).alias(f"__max_{c}"))],
+    )
+    value_of = lambda c: F.when((F.col("attribute") == c) & F.col("value").isNotNull(), F.col("value"))
+    best = lambda c: F.min(F.when(value_of(c).isNotNull(), F.struct((-F.col("__n")).alias("minus"), F.col("value").alias("value"))))["value"]
+    return first.groupBy(*keys).agg(
+        F.max(mine("__n")).alias("n"),
+        *[F.count(value_of(c)).alias(f"n_{c}") for c in distinct],
+        *[(F.max(f"__s_{c}") / F.max(f"__c_{c}") / 10**d).alias(f"mean_{c}") for c, d in means.items()],
+        *[x for c in spans for x in (F.max(f"__min_{c}").alias(f"first_{c}"), F.max(f"__max_{c}").alias(f"last_{c}"))],
+        *[best(c).alias(f"dominant_{c}") for c in modal],
+        *[F.array_join(F.array_sort(F.collect_list(value_of(c))), ", ").alias(f"{c}_seen") for c in joined],
     )
-    return out.where(F.col("n_mentions") >= least)
+
+
+def mention_profile(df: DataFrame, keys: list[str], modal: list[str], joined: list[str], least: int = 1) -> DataFrame:
+    """Per key: mentions, first and last year, mean score, the mode of several labels, joined sets of words."""
+    out = profile(df.withColumn("year", F.col("source_year")), keys, modal, joined, means={"concreteness_score": 3}, spans=["year"]).where(F.col("n") >= least)
+    return out.withColumnsRenamed({"n": "n_mentions", "mean_concreteness_score": "mean_concreteness"}).withColumn("mean_concreteness", F.round("mean_concreteness", 3))
 
 
 def edges(df: DataFrame, keys: list[str], markers: list[str]) -> DataFrame:
@@ -64,7 +88,7 @@ def edges(df: DataFrame, keys: list[str], markers: list[str]) -> DataFrame:
 
 def target_summary(edge_table: DataFrame, target: str, modal: list[str]) -> DataFrame:
     """Per target: total weight, edges, and the mode of labels over edges (each edge counts once)."""
-    return edge_table.groupBy(target).agg(F.sum("weight").alias("total_weight"), F.count(F.lit(1)).alias("n_edges"), *modes(edge_table, [target], modal))
+    return edge_table.groupBy(target).agg(F.sum("weight").alias("total_weight"), F.count(F.lit(1)).alias("n_edges"), *modes(modal))
 
 
 def top_share(df: DataFrame, column: str, n: int, other: str = "other") -> DataFrame:
@@ -75,11 +99,14 @@ def top_share(df: DataFrame, column: str, n: int, other: str = "other") -> DataF
 
 def both_ends(df: DataFrame, group: str, score: str, key: str, n: int) -> DataFrame:
     """The ``n`` highest and ``n`` lowest rows of each group by ``score`` (ties by ``key``), labelled ``example_type``. A
-    row of a small group may stand at both ends. Rank filters keep at most ``n`` rows per group before the shuffle."""
-    rows = df.where(F.col(score).isNotNull() & F.col(group).isNotNull())
-    high = rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key)).cast("long")).where(F.col("place") <= n)
-    low = rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.asc(score), key)).cast("long")).where(F.col("place") <= n)
-    return high.withColumn("example_type", F.lit("highest")).unionByName(low.withColumn("example_type", F.lit("lowest")))
+    row of a small group may stand at both ends.
+
+    Rows are read once and stand for both ends; the rank filter keeps at most ``n`` of them per group, end and task
+    before the shuffle. ``df`` should have no more columns than are wanted."""
+    ends = F.array(F.struct(F.lit("highest").alias("example_type"), (-F.col(score)).alias("__by")), F.struct(F.lit("lowest").alias("example_type"), F.col(score).alias("__by")))
+    rows = df.where(F.col(score).isNotNull() & F.col(group).isNotNull()).select("*", F.inline(ends))
+    place = F.row_number().over(Window.partitionBy(group, "example_type").orderBy("__by", key)).cast("long")
+    return rows.withColumn("place", place).where(F.col("place") <= n).drop("__by")
 
 
 def examples_of_frequent(df: DataFrame, pair: list[str], order: list[Column], least: int, n: int) -> DataFrame:

@@ -15,7 +15,8 @@ from plenarium.operators import profiles as P
 from plenarium.plans import sqltext as S
 from plenarium.sources.tables import table
 
-EDGE = ["country", "entity_name", "target_iso3", "geo_class", "source_year", "migrant_cohort", "policy_measure"]
+EDGE = ["country", "entity_name", "target_iso3", "geo_class", "region_group", "weog_group", "source_year", "migrant_cohort", "policy_measure", "ref_type"]
+AGENCY_EDGE = [*EDGE[:7], "policy_agency", *EDGE[7:]]
 MODAL = ["concreteness_band", "ref_type", "sentiment_readable", "migrant_cohort", "policy_measure", "policy_agency", "narrative_frame", "frame_polarity"]
 FACT_COLUMNS = """sentence_id speech_id session_date speaker_id speaker_ana country debate_topic entity_content entity_category entity_word_id
 sentence_content_previous sentence_content_current sentence_content_next sentence_sentiment_value sentence_sentiment_ana""".split()
@@ -125,7 +126,7 @@ def e13_diffusion_edges(spark, folder):
 
 
 def e14_agency_edges(spark, folder):
-    return P.edges(_mentions(spark, folder), ["country", "entity_name", "source_year", "policy_agency"], ["agency_marker", "cohort_marker", "measure_marker"])
+    return P.edges(_mentions(spark, folder), AGENCY_EDGE, ["agency_marker", "cohort_marker", "measure_marker"])
 
 
 def e15_target_summary(spark, folder):
@@ -158,8 +159,8 @@ def e22_first_excerpt(spark, folder):
 
 
 def e24_source_summary(spark, folder):
-    m = _mentions(spark, folder)
-    return m.groupBy("country").agg(F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("speech_id").alias("n_speeches"), F.count_distinct("entity_name").alias("n_targets"), T.exact_mean(F.col("sentence_sentiment_value")).alias("mean_sentiment"), T.exact_mean(F.col("concreteness_score"), 3).alias("mean_concreteness"), *P.modes(m, ["country"], LABELS))
+    out = P.profile(_mentions(spark, folder), ["country"], LABELS, distinct=["speech_id", "entity_name"], means={"sentence_sentiment_value": 4, "concreteness_score": 3})
+    return out.withColumnsRenamed({"n": "n_mentions", "n_speech_id": "n_speeches", "n_entity_name": "n_targets", "mean_sentence_sentiment_value": "mean_sentiment", "mean_concreteness_score": "mean_concreteness"})
 
 
 def e31_top_values(spark, folder):
@@ -327,7 +328,7 @@ ORACLE = {
     "e5_three_keys": _W + " SELECT entity_name, ref_type, sentiment_readable, count(*) AS n FROM mentions GROUP BY 1, 2, 3 HAVING count(*) >= 3",
     "e6_entity_by_sentiment": _W + f", top AS (SELECT entity_name FROM mentions GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) SELECT entity_name, {_SENT} FROM mentions WHERE entity_name IN (SELECT entity_name FROM top) GROUP BY 1",
     "e13_diffusion_edges": _EDGES + " SELECT * FROM edges",
-    "e14_agency_edges": _W + f" SELECT country, entity_name, source_year, policy_agency, count(*) AS weight, count(DISTINCT sentence_id) AS n_sentences, {_JOINED('agency_marker', 'agency_markers')}, {_JOINED('cohort_marker', 'cohort_markers')}, {_JOINED('measure_marker', 'measure_markers')} FROM mentions GROUP BY 1, 2, 3, 4",
+    "e14_agency_edges": _W + f" SELECT {', '.join(AGENCY_EDGE)}, count(*) AS weight, count(DISTINCT sentence_id) AS n_sentences, {_JOINED('agency_marker', 'agency_markers')}, {_JOINED('cohort_marker', 'cohort_markers')}, {_JOINED('measure_marker', 'measure_markers')} FROM mentions GROUP BY {', '.join(AGENCY_EDGE)}",
     "e15_target_summary": _EDGES + ", g AS (SELECT entity_name, cast(sum(weight) AS bigint) AS total_weight, count(*) AS n_edges FROM edges GROUP BY 1) SELECT g.*, " + _DOM(["migrant_cohort", "policy_measure"]) + " FROM g" + _MODE("entity_name", ["migrant_cohort", "policy_measure"], "edges"),
     "e16_regional_concreteness": _W + " SELECT region_group, count(*) AS n, round(avg(cast(round(concreteness_score * 1000) AS bigint)) / 1000, 3) AS mean_score, round(median(concreteness_score), 3) AS median_score, round(stddev_samp(concreteness_score), 3) AS sd_score FROM mentions WHERE concreteness_score IS NOT NULL GROUP BY 1",
     "e18_mention_profile": _W + f", g AS (SELECT entity_name, target_iso3, geo_class, count(*) AS n_mentions, min(source_year) AS first_year, max(source_year) AS last_year, round(avg(cast(round(concreteness_score * 1000) AS bigint)) / 1000, 3) AS mean_concreteness, {_JOINED('concrete_words', 'concrete_words_seen')}, {_JOINED('abstract_words', 'abstract_words_seen')} FROM mentions GROUP BY 1, 2, 3 HAVING count(*) >= 10) SELECT g.*, " + _DOM(MODAL) + " FROM g" + _MODE("entity_name, target_iso3, geo_class", MODAL),

@@ -12,9 +12,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenarium.plans import annotated, dyads, files, members, problems, reports, streams
+from plenarium.plans import annotated, dyads, extended, files, members, problems, reports, streams
 
-_MODULES = (problems, dyads, annotated, reports, members, files, streams)
+_MODULES = (problems, dyads, annotated, reports, extended, members, files, streams)
 
 #: Columns with fractions, by query (the SQL has to name them).
 FRACTIONS: dict[str, str] = {
@@ -67,6 +67,12 @@ FRACTIONS: dict[str, str] = {
     "m13_share_leaders": "share",
     "v4_mean_by_year": "mean_score",
     "v8_timeline": "concreteness_score",
+    "m17_convergence_pairs": "similarity",
+    "c11_agenda": "percent",
+    "d6_normalized": "rate_per_1000_units rate_per_1000_mentions raw_ratio normalized_ratio normalized_log_ratio",
+    "e27_scored_attention": "mean_sentiment mean_concreteness",
+    "i6_event_table": "concreteness_score fact_score",
+    "v3_asymmetry_bars": "log_ratio",
 }
 
 

@@ -103,31 +103,6 @@ def m5_profile_features(spark, folder):
     return X.profile_features(_resolved(spark, folder), "country", "target_iso3", "sentence_sentiment_value")
 
 
-def _features(spark, folder):
-    r = _resolved(spark, folder)
-    return X.complete(X.profile_features(r, "country", "target_iso3", "sentence_sentiment_value").unionByName(X.attribute_shares(r, "country", "entity_category")).unionByName(X.attribute_shares(r, "country", "target_iso3")), "country")
-
-
-def m6_features(spark, folder):
-    return _features(spark, folder)
-
-
-def m7_zscores(spark, folder):
-    return X.zscores(_features(spark, folder), "country").select("country", "feature", F.round("z", 6).alias("z"))
-
-
-def m8_cosine(spark, folder):
-    return X.cosine(X.zscores(_features(spark, folder), "country"), "country", "z").select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
-def m9_extremes(spark, folder):
-    return X.extremes(m8_cosine(spark, folder), "similarity")
-
-
-def m10_signatures(spark, folder):
-    return X.signatures(X.zscores(_features(spark, folder), "country").withColumn("z", F.round("z", 9)), "country")
-
-
 def m11_lift(spark, folder):
     return X.lift(_resolved(spark, folder), "country", "target_iso3", 20)
 
@@ -218,20 +193,6 @@ _RATIO = _M + """, ratio AS (
   SELECT f.country AS source, f.target_iso3 AS target, f.n_mentions AS n_forward, coalesce(b.n_mentions, 0) AS n_reverse, f.n_mentions / (coalesce(b.n_mentions, 0) + 1) AS ratio
   FROM matrix f LEFT JOIN matrix b ON f.country = b.target_iso3 AND f.target_iso3 = b.country)"""
 _COUNTS = _R + ", counts AS (SELECT country, target_iso3, count(*) AS n FROM resolved GROUP BY 1, 2)"
-_FEATURES = _R + """, prof AS (
-  SELECT country, ln(1 + count(*)) AS log_mentions, ln(1 + count(DISTINCT speech_id)) AS log_speeches, ln(1 + count(DISTINCT speaker_id)) AS log_speakers,
-    cast(count(DISTINCT target_iso3) AS double) AS n_targets, avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) / 10000 AS mean_sentiment FROM resolved GROUP BY 1),
-long AS (UNPIVOT prof ON log_mentions, log_speeches, log_speakers, n_targets, mean_sentiment INTO NAME feature VALUE value),
-present AS (
-  SELECT country, feature, value FROM long
-  UNION ALL SELECT country, 'entity_category=' || entity_category, n / sum(n) OVER (PARTITION BY country) FROM (SELECT country, entity_category, count(*) AS n FROM resolved WHERE entity_category IS NOT NULL GROUP BY 1, 2)
-  UNION ALL SELECT country, 'target_iso3=' || target_iso3, n / sum(n) OVER (PARTITION BY country) FROM (SELECT country, target_iso3, count(*) AS n FROM resolved GROUP BY 1, 2)),
-features AS (SELECT c.country, f.feature, coalesce(p.value, 0.0) AS value FROM (SELECT DISTINCT country FROM present) c CROSS JOIN (SELECT DISTINCT feature FROM present) f LEFT JOIN present p ON p.country = c.country AND p.feature = f.feature),
-stats AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM features GROUP BY 1),
-z AS (SELECT country, feature, greatest(-2.5, least(2.5, CASE WHEN s = 0 THEN 0.0 ELSE (value - m) / s END)) AS z FROM features JOIN stats USING (feature)),
-norms AS (SELECT country, CASE WHEN sum(z * z) = 0 THEN 1.0 ELSE sqrt(sum(z * z)) END AS n FROM z GROUP BY 1),
-cosines AS (SELECT x.country AS a, y.country AS b, round(greatest(-1.0, least(1.0, sum(x.z * y.z) / (min(nx.n) * min(ny.n)))), 6) AS similarity
-  FROM z x JOIN z y ON x.feature = y.feature AND x.country < y.country JOIN norms nx ON nx.country = x.country JOIN norms ny ON ny.country = y.country GROUP BY 1, 2)"""
 _CONT = _COUNTS + """, rows1 AS (SELECT country FROM counts GROUP BY 1 HAVING sum(n) >= 20), kept AS (SELECT * FROM counts WHERE country IN (SELECT country FROM rows1)),
 cols1 AS (SELECT target_iso3 FROM kept GROUP BY 1 HAVING sum(n) >= 10 ORDER BY sum(n) DESC, target_iso3 LIMIT 35), cont AS (SELECT * FROM kept WHERE target_iso3 IN (SELECT target_iso3 FROM cols1)),
 res AS (SELECT *, sum(n) OVER (PARTITION BY country) * sum(n) OVER (PARTITION BY target_iso3) / sum(n) OVER () AS expected FROM cont),
@@ -267,13 +228,10 @@ ORACLE = {
         SELECT r.country, k.entity_category, coalesce(n, 0) AS n FROM (SELECT DISTINCT country FROM c) r CROSS JOIN (SELECT DISTINCT entity_category FROM c) k LEFT JOIN c ON c.country = r.country AND c.entity_category = k.entity_category""",
     "m2_share_matrix": _COUNTS + ", top AS (SELECT target_iso3 FROM counts GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 25), s AS (SELECT *, n / sum(n) OVER (PARTITION BY country) AS share FROM counts) SELECT * FROM s WHERE target_iso3 IN (SELECT target_iso3 FROM top)",
     "m4_masked_means": _R + " SELECT country, target_iso3, count(*) AS n, CASE WHEN count(*) >= 20 THEN avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) / 10000 END AS mean_value FROM resolved GROUP BY 1, 2",
-    "m5_profile_features": _FEATURES + " SELECT * FROM long",
-    "m6_features": _FEATURES + " SELECT * FROM features",
-    "m7_zscores": _FEATURES + " SELECT country, feature, round(z, 6) AS z FROM z",
-    "m8_cosine": _FEATURES + " SELECT * FROM cosines",
-    "m9_extremes": _FEATURES + " (SELECT *, 'closest' AS kind FROM cosines ORDER BY similarity DESC, a, b LIMIT 8) UNION ALL (SELECT *, 'divergent' FROM cosines ORDER BY similarity, a, b LIMIT 8)",
-    "m10_signatures": _FEATURES + """, r AS (SELECT country, feature, row_number() OVER (PARTITION BY country ORDER BY round(z, 9) DESC, feature) AS i FROM z WHERE round(z, 9) > 0 AND feature NOT IN ('log_mentions', 'log_speeches', 'log_speakers', 'n_targets'))
-        SELECT country, string_agg(feature, ', ' ORDER BY i) AS signature FROM r WHERE i <= 4 GROUP BY 1""",
+    "m5_profile_features": _R + """, prof AS (
+        SELECT country, ln(1 + count(*)) AS log_mentions, ln(1 + count(DISTINCT speech_id)) AS log_speeches, ln(1 + count(DISTINCT speaker_id)) AS log_speakers,
+          cast(count(DISTINCT target_iso3) AS double) AS n_targets, avg(cast(round(sentence_sentiment_value * 10000) AS bigint)) / 10000 AS mean_sentiment FROM resolved GROUP BY 1)
+        SELECT * FROM (UNPIVOT prof ON log_mentions, log_speeches, log_speakers, n_targets, mean_sentiment INTO NAME feature VALUE value)""",
     "m11_lift": _COUNTS + ", s AS (SELECT *, n / sum(n) OVER (PARTITION BY country) AS share, sum(n) OVER (PARTITION BY target_iso3) / sum(n) OVER () AS corpus_share FROM counts) SELECT *, share / corpus_share AS lift FROM s WHERE n >= 20",
     "e33_contingency": _CONT + " SELECT * FROM cont",
     "m15_residuals": _CONT + " SELECT * FROM resid",

@@ -34,6 +34,7 @@ def _mean():
 
 #: The names of countries become one pattern in the driver.
 MOST_NAMES = 50_000
+TARGET_YEAR = ["entity_name", "source_year", "target_iso3", "weog_group", "region_group"]
 KEY_TARGETS = ["UKR", "SYR", "TUR", "DEU", "GRC", "AFG", "ITA"]
 
 
@@ -99,13 +100,13 @@ def d12_not_located(spark, folder):
 
 
 def e17_visible_targets(spark, folder):
-    m = _mentions(spark, folder).where(_score() >= 3.3)
-    return m.groupBy("entity_name").agg(_n().alias("n"), F.round(_mean(), 3).alias("mean_score"), *P.modes(m, ["entity_name"], ["ref_type", "narrative_frame"]))
+    out = P.profile(_mentions(spark, folder).where(_score() >= 3.3), ["entity_name", "target_iso3", "weog_group"], ["narrative_frame", "policy_agency"], means={"concreteness_score": 3})
+    return out.withColumnRenamed("mean_concreteness_score", "mean_score").withColumn("mean_score", F.round("mean_score", 3))
 
 
 def e20_target_year(spark, folder):
     m = _mentions(spark, folder).where("concreteness_score is not null")
-    return m.groupBy("entity_name", "source_year").agg(_n().alias("n"), F.round(_mean(), 3).alias("mean_score"), F.round(F.median(_score()), 4).alias("median_score"), *P.modes(m, [], ["migrant_cohort", "policy_measure", "policy_agency"]))
+    return m.groupBy(*TARGET_YEAR).agg(_n().alias("n"), F.round(_mean(), 3).alias("mean_score"), F.round(F.median(_score()), 4).alias("median_score"), *P.modes(["narrative_frame", "policy_agency", "migration_direction"]))
 
 
 def e23_year_summary(spark, folder):
@@ -222,7 +223,7 @@ def n6_event_selection(spark, folder):
 def n8_cross_target(spark, folder):
     """How each source speaks of the key targets (at least five mentions)."""
     m = _mentions(spark, folder).where(F.col("target_iso3").isin(KEY_TARGETS))
-    return m.groupBy("country", "target_iso3").agg(_n().alias("n"), *P.modes(m, [], ["policy_agency", "narrative_frame"])).where("n >= 5")
+    return m.groupBy("country", "target_iso3").agg(_n().alias("n"), *P.modes(["policy_agency", "narrative_frame"])).where("n >= 5")
 
 
 def n9_direction_selection(spark, folder):
@@ -268,8 +269,8 @@ ORACLE = {
     "c19_display_label": _W + " SELECT entity_name, entity_name || CASE geo_class WHEN 'european_union' THEN ' (EU)' WHEN 'territory_region' THEN ' (overseas)' ELSE '' END AS label, count(*) AS n FROM mentions GROUP BY 1, 2",
     "d11_top_semi": _W + ", top AS (SELECT entity_name FROM mentions GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) SELECT entity_name, source_year, count(*) AS n FROM mentions WHERE entity_name IN (SELECT entity_name FROM top) GROUP BY 1, 2",
     "d12_not_located": _W + f" SELECT fact_id FROM mentions WHERE concreteness_score >= 3.3 AND NOT coalesce(regexp_matches(context_window, {S.quoted(rf'(^|{S.EDGE})({_NAMED})({S.EDGE}|$)')}), false)",
-    "e17_visible_targets": _W + f", v AS (SELECT * FROM mentions WHERE concreteness_score >= 3.3), g AS (SELECT entity_name, count(*) AS n, round({_AVG}, 3) AS mean_score FROM v GROUP BY 1) SELECT g.*, " + _DOM(["ref_type", "narrative_frame"]) + " FROM g" + _MODE("entity_name", ["ref_type", "narrative_frame"], "v"),
-    "e20_target_year": _W + f", v AS (SELECT * FROM mentions WHERE concreteness_score IS NOT NULL), g AS (SELECT entity_name, source_year, count(*) AS n, round({_AVG}, 3) AS mean_score, round(median(concreteness_score), 4) AS median_score FROM v GROUP BY 1, 2) SELECT g.*, " + _DOM(["migrant_cohort", "policy_measure", "policy_agency"]) + " FROM g" + _MODE("entity_name, source_year", ["migrant_cohort", "policy_measure", "policy_agency"], "v"),
+    "e17_visible_targets": _W + f", v AS (SELECT * FROM mentions WHERE concreteness_score >= 3.3), g AS (SELECT entity_name, target_iso3, weog_group, count(*) AS n, round({_AVG}, 3) AS mean_score FROM v GROUP BY 1, 2, 3) SELECT g.*, " + _DOM(["narrative_frame", "policy_agency"]) + " FROM g" + _MODE("entity_name, target_iso3, weog_group", ["narrative_frame", "policy_agency"], "v"),
+    "e20_target_year": _W + f", v AS (SELECT * FROM mentions WHERE concreteness_score IS NOT NULL), g AS (SELECT {', '.join(TARGET_YEAR)}, count(*) AS n, round({_AVG}, 3) AS mean_score, round(median(concreteness_score), 4) AS median_score FROM v GROUP BY ALL) SELECT g.*, " + _DOM(["narrative_frame", "policy_agency", "migration_direction"]) + " FROM g" + _MODE(", ".join(TARGET_YEAR), ["narrative_frame", "policy_agency", "migration_direction"], "v"),
     "e23_year_summary": _W + f" SELECT source_year, count(*) AS n, round({_AVG}, 3) AS mean_score, arg_min(policy_measure, {{'d': session_date, 'f': fact_id}}) FILTER (policy_measure <> 'unspecified') AS first_measure FROM mentions GROUP BY 1",
     "e26_top_facts": _W + " SELECT country, fact_id, row_number() OVER (PARTITION BY country ORDER BY concreteness_score DESC, fact_id) AS place FROM mentions WHERE concreteness_score IS NOT NULL QUALIFY place <= 5",
     "e30_source_totals": _W + " SELECT country, count(*) AS n, cast(sum(n_tokens) AS bigint) AS n_tokens, count(*) * 1000.0 / sum(n_tokens) AS per_thousand FROM mentions GROUP BY 1",
