@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plenarium.lineage import shared_folder
 from plenarium.operators import answers as N
 from plenarium.sources import files as S
 from plenarium.sources.tables import table
@@ -45,9 +46,99 @@ def c17_safe_label(spark, folder):
     return table(spark, folder, "task1_asymmetry_drivers").groupBy(label.alias("driver")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ratio")).alias("mean_ratio"), F.max("n_forward").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (a10_union_relaxed, a23_late_bound, a16_nested_json, a21_schema, j14_coalesced_use, c17_safe_label)}
+def _fact_files(spark, folder):
+    root = shared_folder(spark)
+    S.write_fact_files(table(spark, folder, "facts"), root)
+    return root
 
+
+def _n():
+    return F.count(F.lit(1)).alias("n")
+
+
+def a1_country_year(spark, folder):
+    """One country and year from files laid out by both."""
+    return S.read_facts(spark, _fact_files(spark, folder), "GBR", [2016]).groupBy("source_year", "entity_category").agg(_n())
+
+
+def a2_several_years(spark, folder):
+    """Some years of a country, all of which have to be there."""
+    return S.read_facts(spark, _fact_files(spark, folder), "TUR", [2015, 2016, 2019]).groupBy("country", "source_year").agg(_n())
+
+
+def a3_discovery(spark, folder):
+    """The fact files there are."""
+    paths = S.discover(spark, _fact_files(spark, folder))
+    return spark.createDataFrame([("/".join(p.split("/")[-2:]),) for p in paths], "file string")
+
+
+def a5_all_countries(spark, folder):
+    return S.read_facts(spark, _fact_files(spark, folder)).groupBy("country", "source_year").agg(_n(), F.count_distinct("speech_id").alias("n_speeches"))
+
+
+def a6_former_name(spark, folder):
+    """A table that may have a former name."""
+    return S.read_first(spark, f"{folder}/members.parquet", f"{folder}/people.parquet").groupBy("gender").agg(_n())
+
+
+def a7_glob(spark, folder):
+    return spark.read.parquet(f"{_fact_files(spark, folder)}/FRA/*.parquet").groupBy("debate_topic").agg(_n())
+
+
+def a8_csv(spark, folder):
+    """A table as CSV and back, with its types."""
+    people, path = table(spark, folder, "people"), f"{shared_folder(spark)}/people.csv"
+    S.write_table(people, path, "csv")
+    return S.read_any(spark, path, people.schema).groupBy("country", F.year("member_since").alias("since")).agg(_n(), F.sum("birth_year").alias("birth_years"))
+
+
+def a12_csv_union(spark, folder):
+    """CSV files of many sources as one table, with the source from the name."""
+    people, path = table(spark, folder, "people").where("country is not null"), f"{shared_folder(spark)}/people"
+    S.write_table(people.withColumn("source", F.col("country")), path, "csv", ["source"])
+    return S.with_source(S.read_any(spark, f"{path}/source=*/*.csv", people.schema), "source_country", r"/source=([A-Z]{3})/").groupBy("source_country", "gender").agg(_n())
+
+
+def a13_lexicon(spark, folder):
+    """A word list as CSV, read again."""
+    path = f"{shared_folder(spark)}/words.csv"
+    words = table(spark, folder, "country_list").select(F.col("country_name").alias("Word"), F.char_length("country_name").cast("string").alias("Conc.M"))
+    S.write_table(words.where("Word <> ''"), path, "csv")
+    return S.read_lexicon(spark, path)
+
+
+def a14_parquet(spark, folder):
+    """A table laid out in folders by country; a filter reads one of them."""
+    path = f"{shared_folder(spark)}/facts"
+    S.write_table(table(spark, folder, "facts", "fact_id", "country", "debate_topic"), path, by=["country"])
+    return spark.read.parquet(path).where("country = 'POL'").groupBy("debate_topic").agg(_n())
+
+
+def a18_csv_safe(spark, folder):
+    """Lists and structs as text in CSV."""
+    path = f"{shared_folder(spark)}/nested.csv"
+    S.write_table(table(spark, folder, "people").groupBy("country").agg(F.array_sort(F.collect_set("gender")).alias("genders")), path, "csv")
+    return S.read_any(spark, path, "country string, genders string")
+
+
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n[1:2].isdigit()}
+
+_KINDS = {"LongType()": "bigint", "StringType()": "string", "DateType()": "date", "DoubleType()": "double"}
 ORACLE = {
+    "a1_country_year": "SELECT cast(2016 AS int) AS source_year, entity_category, count(*) AS n FROM facts WHERE country = 'GBR' AND year(session_date) = 2016 GROUP BY 2",
+    "a2_several_years": "SELECT country, cast(year(session_date) AS int) AS source_year, count(*) AS n FROM facts WHERE country = 'TUR' AND year(session_date) IN (2015, 2016, 2019) GROUP BY 1, 2",
+    "a3_discovery": "SELECT DISTINCT country || '/' || country || '_' || year(session_date) || '_facts.parquet' AS file FROM facts WHERE country IS NOT NULL AND session_date IS NOT NULL",
+    "a5_all_countries": "SELECT country, cast(year(session_date) AS int) AS source_year, count(*) AS n, count(DISTINCT speech_id) AS n_speeches FROM facts WHERE country IS NOT NULL AND session_date IS NOT NULL GROUP BY 1, 2",
+    "a6_former_name": "SELECT gender, count(*) AS n FROM people GROUP BY 1",
+    "a7_glob": "SELECT debate_topic, count(*) AS n FROM facts WHERE country = 'FRA' AND session_date IS NOT NULL GROUP BY 1",
+    "a8_csv": "SELECT country, cast(year(member_since) AS int) AS since, count(*) AS n, cast(sum(birth_year) AS bigint) AS birth_years FROM people GROUP BY 1, 2",
+    "a12_csv_union": "SELECT country AS source_country, gender, count(*) AS n FROM people WHERE country IS NOT NULL GROUP BY 1, 2",
+    "a13_lexicon": "SELECT DISTINCT lower(trim(country_name)) AS word, cast(len(country_name) AS double) AS score FROM country_list WHERE country_name <> ''",
+    "a14_parquet": "SELECT debate_topic, count(*) AS n FROM facts WHERE country = 'POL' GROUP BY 1",
+    "a18_csv_safe": """SELECT country, '[' || coalesce(string_agg(DISTINCT '"' || gender || '"', ',' ORDER BY '"' || gender || '"'), '') || ']' AS genders FROM people GROUP BY 1""",
+    "a21_schema": " UNION ALL ".join(f"SELECT '{f.name}' AS \"column\", '{_KINDS.get(str(f.dataType), 'timestamp')}' AS kind, count(*) AS n_rows, count(*) - count({f.name}) AS n_nulls FROM facts" for f in S.FACTS),
+    "a16_nested_json": """WITH r AS (SELECT DISTINCT country, speaker_id, gender FROM people WHERE country IS NOT NULL)
+        SELECT country, len('{"country":"' || country || '","records":[]}') + sum(len('{' || concat_ws(',', '"speaker_id":"' || speaker_id || '"', '"gender":"' || gender || '"') || '}')) + count(*) - 1 AS n_letters FROM r GROUP BY country""",
     "a10_union_relaxed": """
         SELECT task, run_file, count(*) AS n_rows, count(year) AS n_years, count(rationale) AS n_rationales, cast(sum(n_mentions) AS bigint) AS n_mentions FROM (
         SELECT 'task1_asymmetry_drivers' AS task, * FROM task1_asymmetry_drivers UNION ALL BY NAME SELECT 'task2_extracted_events' AS task, * FROM task2_extracted_events

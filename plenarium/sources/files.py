@@ -68,6 +68,22 @@ def read_facts(spark: SparkSession, root: str, country: str = "*", years: list[i
     return reader.parquet(*paths).withColumn("source_year", F.regexp_extract(F.col("_metadata.file_path"), r"_(\d{4})_facts", 1).cast("int"))
 
 
+def write_fact_files(facts: DataFrame, root: str) -> None:
+    """Facts as ``<root>/<ISO3>/<ISO3>_<year>_facts.parquet``, as ``read_facts`` finds them. Rows without a country or a date
+    belong to no file. Rows are rebalanced by country and year, large ones over several tasks; the folders get their
+    names afterwards."""
+    keyed = facts.where("country is not null and session_date is not null").withColumns({"__c": F.col("country"), "__y": F.year("session_date")})
+    keyed.hint("rebalance", F.col("__c"), F.col("__y")).write.partitionBy("__c", "__y").parquet(f"{root}/_written")
+    jvm = facts.sparkSession._jvm
+    for found in _paths(facts.sparkSession, f"{root}/_written/__c=*/__y=*"):
+        country, year = re.search(r"__c=([^/]*)/__y=([^/]*)", found).groups()
+        to, source = jvm.org.apache.hadoop.fs.Path(fact_path(root, country, int(year))), jvm.org.apache.hadoop.fs.Path(found)
+        system = source.getFileSystem(facts.sparkSession._jsc.hadoopConfiguration())
+        system.mkdirs(to.getParent())
+        if not system.rename(source, to):
+            raise OSError(f"{found} could not be renamed")
+
+
 def read_first(spark: SparkSession, *paths: str) -> DataFrame:
     """The first of several files that is there (a table with a former name)."""
     for p in paths:
@@ -143,7 +159,7 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] |
     """Parquet, CSV or JSON lines; ``by`` lays the table out in folders that later filters can skip."""
     writer = (flat_for_csv(df) if kind == "csv" else df).write.mode("overwrite")
     writer = writer.partitionBy(*by) if by else writer
-    writer.option("header", True).csv(path) if kind == "csv" else writer.format(kind).save(path)
+    writer.option("header", True).option("escape", "\"").csv(path) if kind == "csv" else writer.format(kind).save(path)
 
 
 def nested_json(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
