@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenarium.lineage import shared_folder
+from plenarium.lineage import cut, shared_folder
 
 #: Code pages whose text may hold UTF-8 read byte by byte.
 CODECS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp866")
@@ -201,7 +201,8 @@ def mistaken(texts: DataFrame, text: str) -> DataFrame:
     """``context`` and ``pair`` (read as, written in; or ``LOST``): the contexts of a corpus that are mistaken ones.
 
     One pass over the texts, one grouping of contexts (counted per batch first; their number follows the alphabets, not
-    the corpus), and a join of contexts with what they would be. Counts are documents."""
+    the corpus; written to the shared checkpoint folder), and a join of contexts with what they would be. Counts are
+    documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,7 +226,7 @@ def mistaken(texts: DataFrame, text: str) -> DataFrame:
                         n.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(context, pa.int64()), pa.array(pair, pa.string()), pa.array(other, pa.int64()), pa.array(n, pa.int64())], ["context", "pair", "other", "n"])
 
-    counts = texts.select(text).mapInArrow(count, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    counts = cut(texts.select(text).mapInArrow(count, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")))
     read = counts.mapInArrow(readings, "context long, pair string, other long, n long")
     known = counts.select(F.col("context").alias("other"), F.col("n").alias("m"))
     plainer = read.join(known, "other").where(F.col("m") >= RATIO * F.col("n")).select("context", "pair")
