@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenarium.lineage import shared_folder
 from plenarium.sources.tables import table
 from plenarium.streaming import speeches as S
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plenarium-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def s1_hourly_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events per type and six hours, by a streaming aggregation with a watermark; the windows closed at the end."""
     schema = table(spark, folder, "events").schema
     stream = S.read_stream(spark, f"{folder}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _scratch(spark)
+    out = shared_folder(spark)
     S.run_to_table(S.windowed_counts(stream, "event_type", "ts", "6 hours", "1 day"), f"{out}/table", f"{out}/state")
     return spark.read.parquet(f"{out}/table").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
