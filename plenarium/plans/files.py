@@ -57,13 +57,17 @@ def _n():
 
 
 def a1_country_year(spark, folder):
-    """One country and year from files laid out by both."""
-    return S.read_facts(spark, _fact_files(spark, folder), "GBR", [2016]).groupBy("source_year", "entity_category").agg(_n())
+    """One country and year (the first of both) from files laid out by both."""
+    root = _fact_files(spark, folder)
+    country, year = S.discover(spark, root)[0].rsplit("/", 1)[1].split("_")[:2]
+    return S.read_facts(spark, root, country, [int(year)]).groupBy("country", "source_year", "entity_category").agg(_n())
 
 
 def a2_several_years(spark, folder):
-    """Some years of a country, all of which have to be there."""
-    return S.read_facts(spark, _fact_files(spark, folder), "TUR", [2015, 2016, 2019]).groupBy("country", "source_year").agg(_n())
+    """The first years of a country, all of which have to be there."""
+    root = _fact_files(spark, folder)
+    years = sorted(int(p.rsplit("_", 2)[1]) for p in S.discover(spark, root, "TUR"))[:3]
+    return S.read_facts(spark, root, "TUR", years).groupBy("country", "source_year").agg(_n())
 
 
 def a3_discovery(spark, folder):
@@ -82,7 +86,7 @@ def a6_former_name(spark, folder):
 
 
 def a7_glob(spark, folder):
-    return spark.read.parquet(f"{_fact_files(spark, folder)}/FRA/*.parquet").groupBy("debate_topic").agg(_n())
+    return spark.read.parquet(f"{_fact_files(spark, folder)}/*/*_facts.parquet").groupBy("debate_topic").agg(_n())
 
 
 def a8_csv(spark, folder):
@@ -125,12 +129,12 @@ QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f
 
 _KINDS = {"LongType()": "bigint", "StringType()": "string", "DateType()": "date", "DoubleType()": "double"}
 ORACLE = {
-    "a1_country_year": "SELECT cast(2016 AS int) AS source_year, entity_category, count(*) AS n FROM facts WHERE country = 'GBR' AND year(session_date) = 2016 GROUP BY 2",
-    "a2_several_years": "SELECT country, cast(year(session_date) AS int) AS source_year, count(*) AS n FROM facts WHERE country = 'TUR' AND year(session_date) IN (2015, 2016, 2019) GROUP BY 1, 2",
+    "a1_country_year": "SELECT country, cast(year(session_date) AS int) AS source_year, entity_category, count(*) AS n FROM facts WHERE (country, year(session_date)) IN (SELECT (country, year(session_date)) FROM facts WHERE country IS NOT NULL AND session_date IS NOT NULL ORDER BY country, year(session_date) LIMIT 1) GROUP BY 1, 2, 3",
+    "a2_several_years": "SELECT country, cast(year(session_date) AS int) AS source_year, count(*) AS n FROM facts WHERE country = 'TUR' AND year(session_date) IN (SELECT DISTINCT year(session_date) FROM facts WHERE country = 'TUR' AND session_date IS NOT NULL ORDER BY 1 LIMIT 3) GROUP BY 1, 2",
     "a3_discovery": "SELECT DISTINCT country || '/' || country || '_' || year(session_date) || '_facts.parquet' AS file FROM facts WHERE country IS NOT NULL AND session_date IS NOT NULL",
     "a5_all_countries": "SELECT country, cast(year(session_date) AS int) AS source_year, count(*) AS n, count(DISTINCT speech_id) AS n_speeches FROM facts WHERE country IS NOT NULL AND session_date IS NOT NULL GROUP BY 1, 2",
     "a6_former_name": "SELECT gender, count(*) AS n FROM people GROUP BY 1",
-    "a7_glob": "SELECT debate_topic, count(*) AS n FROM facts WHERE country = 'FRA' AND session_date IS NOT NULL GROUP BY 1",
+    "a7_glob": "SELECT debate_topic, count(*) AS n FROM facts WHERE country IS NOT NULL AND session_date IS NOT NULL GROUP BY 1",
     "a8_csv": "SELECT country, cast(year(member_since) AS int) AS since, count(*) AS n, cast(sum(birth_year) AS bigint) AS birth_years FROM people GROUP BY 1, 2",
     "a12_csv_union": "SELECT country AS source_country, gender, count(*) AS n FROM people WHERE country IS NOT NULL GROUP BY 1, 2",
     "a13_lexicon": "SELECT DISTINCT lower(trim(country_name)) AS word, cast(len(country_name) AS double) AS score FROM country_list WHERE country_name <> ''",

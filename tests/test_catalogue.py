@@ -6,9 +6,9 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import pytest
-from plenarium.plans import annotated, catalog, dyads, reports
+from plenarium.plans import annotated, catalog, dyads, files, reports
 
-#: These run from the facts on; the others of both tracks share one table of mentions each.
+#: These run from the facts on; the others of both tracks share one table of mentions each, and one folder of files.
 WHOLE = {"c_annotated_labels", "d2_topic_mentions"}
 
 
@@ -22,7 +22,7 @@ def duck(smallest):
 
 @pytest.fixture(scope="module")
 def shared(spark, smallest):
-    return annotated._mentions(spark, smallest).cache(), dyads._resolved(spark, smallest).cache()
+    return annotated._mentions(spark, smallest).cache(), dyads._resolved(spark, smallest).cache(), files._fact_files(spark, smallest)
 
 
 def plain(x):
@@ -47,6 +47,7 @@ def test_query(spark, smallest, duck, shared, monkeypatch, name):
             monkeypatch.setattr(module, "_mentions", lambda *_: shared[0])
         for module in (dyads, reports):
             monkeypatch.setattr(module, "_resolved", lambda *_: shared[1])
+        monkeypatch.setattr(files, "_fact_files", lambda *_: shared[2])
     got = catalog.QUERIES[name](spark, smallest).toPandas()
     if name in catalog.ORACLE:
         assert rows(got) == rows(duck.execute(catalog.ORACLE[name]).fetchdf())
