@@ -165,7 +165,11 @@ def test_validity_joins(spark):
 
 def test_profiles(spark):
     df = spark.createDataFrame([("a", "x", 1.0, 1), ("a", "y", 2.0, 2), ("a", None, 3.0, 3), ("b", "y", 1.0, 4)], "g string, v string, s double, id long")
-    assert {(r["g"], r["dominant_v"]) for r in df.groupBy("g").agg(*P.modes(df, ["g"], ["v"])).collect()} == {("a", "x"), ("b", "y")}
+    assert {(r["g"], r["dominant_v"]) for r in df.groupBy("g").agg(*P.modes(["v"])).collect()} == {("a", "x"), ("b", "y")}
+    p = {r["g"]: r.asDict() for r in P.profile(df, ["g"], ["v"], ["v"], ["v"], {"s": 1}, ["id"]).collect()}
+    assert p["a"] == {"g": "a", "n": 3, "n_v": 2, "mean_s": 2.0, "first_id": 1, "last_id": 3, "dominant_v": "x", "v_seen": "x, y"}
+    assert p["b"] == {"g": "b", "n": 1, "n_v": 1, "mean_s": 1.0, "first_id": 4, "last_id": 4, "dominant_v": "y", "v_seen": "y"}
+    assert P.profile(df.limit(0), ["g"], ["v"]).count() == 0
     ends = P.both_ends(df, "g", "s", "id", 2).collect()
     assert len([r for r in ends if r["g"] == "b"]) == 2 and len([r for r in ends if r["g"] == "a"]) == 4
     trend = P.trend(spark.createDataFrame([("k", 2020, 5), ("k", 2021, 9), ("k", 2022, 9), ("k", 2023, 1)], "k string, y int, n long"), "k", "y", "n").first()
